@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.functions.sqltext import apply, let
 
 MONEY = "decimal(18,4)"
 
@@ -82,3 +83,21 @@ def member_sum(rows: Column, member: str) -> Column:
     """Displayed total of an array member, a missing member counting as nothing."""
     values = F.transform(rows, lambda r: F.coalesce(r[member], F.lit(0.0)))
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def round_exact(x: Column, digits: int) -> Column:
+    """Round the exact binary value of a double, ties to even.
+
+    Spark rounds the printed form of a double: 2.15, which is a little less than it looks,
+    would go up. Here the fraction is taken as a whole number of 2^-52 and compared in
+    integers.
+    """
+    scale, unit = 10**digits, 1 << 52
+    body = let(
+        "p",
+        f"named_struct('w', floor(abs(x)) * {scale}L, 'n', CAST((abs(x) - floor(abs(x))) * {unit}D AS BIGINT) * {scale}L)",
+        f"""CAST(p.w + p.n div {unit}L + if(p.n % {unit}L > {unit // 2}L
+            OR (p.n % {unit}L = {unit // 2}L AND (p.w + p.n div {unit}L) % 2 = 1), 1L, 0L) AS DOUBLE)
+            / {scale}D * if(x < 0, -1D, 1D)""",
+    )
+    return apply(body, x.cast("double"))

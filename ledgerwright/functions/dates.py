@@ -1,127 +1,106 @@
 """Dates written by people: validity, and parsing to a (first day, last day) pair.
 
-Texts are matched by shape (one regular expression per layout) and the parts are put
-together as ISO text, which `try_cast` turns into a date without raising. That keeps the
-work in the JVM and costs no exception per layout tried.
+A text is taken apart by shape (one regular expression for numbers, three for month
+names) and put together as ISO text, which `try_cast` turns into a date without raising.
+That keeps the work in the JVM and costs no exception per layout tried.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.functions.sqltext import apply, let, quoted
 
-_FULL = {name: i + 1 for i, name in enumerate(fixed.MONTH_NAMES)}
-_SHORT = {name[:3]: i + 1 for i, name in enumerate(fixed.MONTH_NAMES)}
-
-
-@dataclass(frozen=True)
-class Layout:
-    """A text shape; `order` names the part each group holds (y, m, d)."""
-
-    pattern: str
-    order: str
-    months: str = "digits"  # digits | short | any
-
-
-# Layouts that may be parsed, US order before day-first order.
-PARSED_LAYOUTS = (
-    Layout(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd"),
-    Layout(r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "ymd"),
-    Layout(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"),
-    Layout(r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "mdy"),
-    Layout(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "mdy"),
-    Layout(r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "mdy"),
-    Layout(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "dmy"),
-    Layout(r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$", "mdy", "any"),
-    Layout(r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{2})$", "mdy", "short"),
-    Layout(r"^(\d{1,2})-([A-Za-z]+)-(\d{4})$", "dmy", "any"),
-    Layout(r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", "dmy", "short"),
-    Layout(r"^(\d{1,2})-([A-Za-z]+)-(\d{2})$", "dmy", "short"),
-)
-MONTH_LAYOUTS = (
-    Layout(r"^([A-Za-z]+)(?:\s+|-)(\d{4})$", "my", "any"),
-    Layout(r"^([A-Za-z]+)-(\d{2})$", "my", "any"),
-)
-# Layouts that count as a valid date when a field is scored.
-VALID_LAYOUTS = (
-    Layout(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "ymd"),
-    Layout(r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "ymd"),
-    Layout(r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "mdy"),
-    Layout(r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", "dmy"),
-    Layout(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "mdy"),
-    Layout(r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "mdy"),
-    Layout(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "dmy"),
-    Layout(r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "dmy"),
-    Layout(r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})$", "mdy", "any"),
-    Layout(r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", "dmy", "any"),
-    Layout(r"^(\d{1,2})-([A-Za-z]+)-(\d{2}|\d{4})$", "dmy", "short"),
-)
-
-
-def _lookup(table: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
-def _date(text: Column, layout: Layout) -> Column:
-    part = {
-        name: F.regexp_extract(text, layout.pattern, i + 1) for i, name in enumerate(layout.order)
-    }
-    year = part["y"]
-    # Two-digit years: 69-99 lie in the 1900s, 00-68 in the 2000s.
-    century = F.when(F.length(year) == 4, "").when(year >= "69", "19").otherwise("20")
-    month = part["m"]
-    if layout.months != "digits":
-        names = _SHORT if layout.months == "short" else {**_FULL, **_SHORT}
-        month = F.lpad(F.element_at(_lookup(names), F.lower(month)).cast("string"), 2, "0")
-    day = part.get("d", F.lit("1"))
-    iso = F.concat(century, year, F.lit("-"), month, F.lit("-"), day)
-    return F.when(text.rlike(layout.pattern), iso.try_cast("date"))
-
-
-def _first(text: Column, layouts: tuple[Layout, ...]) -> Column:
-    return F.coalesce(*[_date(text, layout) for layout in layouts])
+_SHORT = "".join(m[:3] for m in fixed.MONTH_NAMES)
+_NAME = "(" + "|".join((*fixed.MONTH_NAMES, *(m[:3] for m in fixed.MONTH_NAMES))) + ")"
+# Shapes; blanks have been collapsed before.
+_NUMBERS = r"^(\d{1,4})([-/.])(\d{1,2})\2(\d{1,4})$"
+_MONTH_FIRST = rf"(?i)^{_NAME} (\d{{1,2}})(,?) (\d{{4}}|\d{{2}})$"
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})([- ]){_NAME}\2(\d{{4}}|\d{{2}})$"
+_MONTH_ONLY = rf"(?i)^{_NAME}([- ])(\d{{4}}|\d{{2}})$"
 
 
-def is_valid_date(text: Column) -> Column:
-    """Does the text, untrimmed, have one of the valid layouts and name a real day?"""
-    ok = _first(text, VALID_LAYOUTS).isNotNull()
-    # A mixed separator such as 1/2.2020 fits the day-first shape but is no date.
-    mixed = text.rlike(r"^\d{1,2}([/.-])\d{1,2}[/.-]\d{4}$") & ~text.rlike(
-        r"^\d{1,2}([/.-])\d{1,2}\1\d{4}$"
+def _parts(text: str, pattern: str, names: str, body: str) -> str:
+    """SQL of `body` over the groups g.<name> of a pattern; null where the shape differs."""
+    shape = quoted(pattern)
+    groups = ", ".join(f"'{n}', regexp_extract({text}, {shape}, {i + 1})" for i, n in enumerate(names))
+    return f"if({text} rlike {shape}, {let('g', f'named_struct({groups})', body)}, NULL)"
+
+
+def _year(y: str) -> str:
+    """Two digits: 69-99 lie in the 1900s, 00-68 in the 2000s."""
+    return (
+        f"CASE length({y}) WHEN 4 THEN {y} WHEN 2 THEN concat(if({y} >= '69', '19', '20'), {y}) ELSE 'x' END"
     )
-    return F.coalesce(ok & ~mixed, F.lit(False))
+
+
+def _month(m: str) -> str:
+    return f"((instr('{_SHORT}', lower(substring({m}, 1, 3))) + 2) div 3)"
+
+
+def _date(year: str, month: str, day: str) -> str:
+    return f"try_cast(concat_ws('-', {year}, {month}, {day}) AS DATE)"
+
+
+def _day(t: str) -> str:
+    """SQL of a readable single day; a slashed date is read month first, then day first."""
+    numbers = _parts(t, _NUMBERS, "asbc", f"""CASE
+        WHEN g.s = '.' THEN NULL
+        WHEN length(g.a) = 4 THEN if(length(g.c) <= 2, {_date('g.a', 'g.b', 'g.c')}, NULL)
+        WHEN length(g.a) <= 2 THEN coalesce({_date(_year('g.c'), 'g.a', 'g.b')},
+            if(g.s = '/' AND length(g.c) = 4, {_date('g.c', 'g.b', 'g.a')}, NULL)) END""")
+    month_first = _parts(t, _MONTH_FIRST, "mdky", f"""if(
+        length(g.y) = 4 OR (g.k = ',' AND length(g.m) = 3),
+        {_date(_year('g.y'), _month('g.m'), 'g.d')}, NULL)""")
+    day_first = _parts(t, _DAY_FIRST, "dsmy", f"""if(
+        if(length(g.m) = 3, g.s = '-' OR length(g.y) = 4, g.s = '-' AND length(g.y) = 4),
+        {_date(_year('g.y'), _month('g.m'), 'g.d')}, NULL)""")
+    return f"coalesce({numbers}, {month_first}, {day_first})"
+
+
+def _first_of_month(t: str) -> str:
+    return _parts(t, _MONTH_ONLY, "msy", f"""if(
+        g.s = '-' OR length(g.y) = 4, {_date(_year('g.y'), _month('g.m'), "'1'")}, NULL)""")
+
+
+def _valid_day(t: str) -> str:
+    """SQL of a day in a layout that counts as valid: dots are allowed, a dashed date with a
+    long year is day first, and a month alone is no date."""
+    numbers = _parts(t, _NUMBERS, "asbc", f"""CASE
+        WHEN length(g.a) = 4 THEN if(g.s <> '.' AND length(g.c) <= 2, {_date('g.a', 'g.b', 'g.c')}, NULL)
+        WHEN length(g.a) <= 2 THEN coalesce(
+            if(g.s = '/' OR (g.s = '-' AND length(g.c) = 2), {_date(_year('g.c'), 'g.a', 'g.b')}, NULL),
+            if(g.s <> '.' OR length(g.c) = 4, {_date(_year('g.c'), 'g.b', 'g.a')}, NULL)) END""")
+    month_first = _parts(t, _MONTH_FIRST, "mdky", f"""if(
+        g.k = ',' AND length(g.y) = 4, {_date('g.y', _month('g.m'), 'g.d')}, NULL)""")
+    day_first = _parts(t, _DAY_FIRST, "dsmy", f"""if(
+        if(g.s = ' ', length(g.y) = 4, length(g.m) = 3),
+        {_date(_year('g.y'), _month('g.m'), 'g.d')}, NULL)""")
+    return f"coalesce({numbers}, {month_first}, {day_first})"
+
+
+def is_valid_date(text: Column) -> Column:
+    """Does the text, untrimmed, name a real day in one of the layouts that count as valid?"""
+    return apply(f"{_valid_day('x')} IS NOT NULL", F.regexp_replace(text, r"\s+", " "))
+
+
+def _period() -> str:
+    cases = " ".join(f"WHEN contains(x, '{s}') THEN '{s}'" for s in fixed.RANGE_SEPARATORS)
+    sides = let("s", f"CASE {cases} END", """if(s IS NULL, array(x, x), array(
+        trim(substring(x, 1, instr(x, s) - 1)), trim(substring(x, instr(x, s) + length(s)))))""")
+    ends = let("e", f"named_struct('d', {_day('t')}, 'm', {_first_of_month('t')})",
+               "named_struct('start', coalesce(e.d, e.m), 'end', coalesce(e.d, last_day(e.m)))")
+    known = "p[0].start IS NOT NULL AND p[1].end IS NOT NULL"
+    return let("p", f"transform({sides}, t -> {ends})", f"""named_struct(
+        'iso_from', if({known}, CAST(p[0].start AS STRING), NULL),
+        'iso_to', if({known}, CAST(p[1].end AS STRING), NULL))""")
 
 
 def parse_period(text: Column) -> Column:
     """Struct (iso_from, iso_to): a day, a month, or a range of either; nulls if unreadable."""
-    clean = F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"\s+", " ")
-    separator = F.coalesce(
-        *[F.when(clean.contains(s), F.lit(s)) for s in fixed.RANGE_SEPARATORS]
-    )
-    at = F.instr(clean, separator)
-    left = F.when(separator.isNull(), clean).otherwise(F.substring(clean, F.lit(1), at - 1))
-    right = F.when(separator.isNull(), clean).otherwise(
-        F.substring(clean, at + F.length(separator), F.length(clean))
-    )
-
-    def ends(side: Column) -> Column:
-        side = F.trim(side)
-        day, month = _first(side, PARSED_LAYOUTS), _first(side, MONTH_LAYOUTS)
-        return F.struct(
-            F.coalesce(day, month).alias("start"), F.coalesce(day, F.last_day(month)).alias("end")
-        )
-
-    both = F.transform(F.array(left, right), ends)
-    start, end = both[0]["start"], both[1]["end"]
-    known = start.isNotNull() & end.isNotNull()
-    return F.struct(
-        F.when(known, F.date_format(start, "yyyy-MM-dd")).alias("iso_from"),
-        F.when(known, F.date_format(end, "yyyy-MM-dd")).alias("iso_to"),
-    )
+    return apply(_period(), F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
 def iso_date(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerwright.functions.amounts import round_exact
+
 
 def severity(z: Column) -> Column:
     return F.when(z >= 4.0, "high").when(z >= 2.5, "medium").otherwise("low")
@@ -12,9 +14,9 @@ def severity(z: Column) -> Column:
 
 def ratio_text(ratio: Column) -> Column:
     return F.concat(
-        F.when(ratio >= 100, F.format_number(ratio, 0))
-        .when(ratio >= 10, F.format_string("%.0f", ratio))
-        .otherwise(F.format_string("%.1f", ratio)),
+        F.when(ratio >= 10, F.format_number(round_exact(ratio, 0), 0)).otherwise(
+            F.format_number(round_exact(ratio, 1), 1)
+        ),
         F.lit("×"),
     )
 
@@ -24,7 +26,7 @@ def _symbol(currency: Column) -> Column:
 
 
 def headline(value: Column, currency: Column) -> Column:
-    return F.concat(_symbol(currency), F.format_number(value, 2), F.lit(" invoice"))
+    return F.concat(_symbol(currency), F.format_number(round_exact(value, 2), 2), F.lit(" invoice"))
 
 
 def explanation(value: Column, mean: Column, currency: Column, priors: Column) -> Column:
@@ -32,7 +34,7 @@ def explanation(value: Column, mean: Column, currency: Column, priors: Column) -
     count = F.concat(
         priors.cast("string"), F.lit(" prior invoice"), F.when(priors == 1, "").otherwise("s")
     )
-    average = F.concat(_symbol(currency), F.format_number(mean, 0))
+    average = F.concat(_symbol(currency), F.format_number(round_exact(mean, 0), 0))
     return (
         F.when(
             mean <= 0,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.functions.amounts import round_exact
+from ledgerwright.functions.sqltext import apply
 from ledgerwright.functions.wording import explanation, headline, severity
 from ledgerwright.operators.fields import field_value
 from ledgerwright.operators.ordered import newest_n
@@ -16,11 +18,12 @@ SUBTYPE, FIELD_NAME = "amount", "total"
 
 def reason(kind: str, **members: Column) -> Column:
     """A reason of one type; members that are not given stay null."""
-    cols = []
-    for f in REASON.fields:
-        value = F.lit(kind) if f.name == "type" else members.get(f.name, F.lit(None))
-        cols.append(value.cast(f.dataType).alias(f.name))
-    return F.struct(*cols)
+    given = F.struct(*[value.alias(name) for name, value in members.items()])
+    body = ", ".join(
+        f"'{f.name}', CAST({'m.' + f.name if f.name in members else 'NULL'} AS {f.dataType.simpleString()})"
+        for f in REASON.fields if f.name != "type"
+    )
+    return apply(f"named_struct('type', '{kind}', {body})", given, "m")
 
 
 def outlier_z(total: Column, n: Column, mean: Column, std: Column) -> Column:
@@ -84,7 +87,7 @@ def detect_anomalies(
         "invoice_id",
         reason(
             "anomaly", field=F.lit(FIELD_NAME), vendor_mean=F.col("avg"),
-            vendor_std=F.col("std"), z_score=F.bround("__z", 2),
+            vendor_std=F.col("std"), z_score=round_exact(F.col("__z"), 2),
         ).alias("anomaly"),
     )
 

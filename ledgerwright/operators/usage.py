@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwright.functions.amounts import round_exact
 from ledgerwright.functions.scoring import usage_cost
 from ledgerwright.operators.ordered import running_totals, time_buckets
 from ledgerwright.schema import USAGE
@@ -30,10 +31,10 @@ def usage_summary(log: DataFrame, limit_usd: float) -> DataFrame:
     limit = F.lit(float(limit_usd))
     share = F.lit(0.0) if limit_usd <= 0 else F.least(F.lit(1.0), F.col("spent") / limit)
     return totals.select(
-        F.bround("spent", 4).alias("spent_usd"),
+        round_exact(F.col("spent"), 4).alias("spent_usd"),
         limit.alias("limit_usd"),
-        F.bround(F.greatest(F.lit(0.0), limit - F.col("spent")), 4).alias("remaining_usd"),
-        F.bround(share, 4).alias("percent_used"),
+        round_exact(F.greatest(F.lit(0.0), limit - F.col("spent")), 4).alias("remaining_usd"),
+        round_exact(share, 4).alias("percent_used"),
         "call_count",
         (F.col("spent") >= limit).alias("exhausted"),
     )

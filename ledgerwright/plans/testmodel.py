@@ -155,7 +155,7 @@ def extractions(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFr
     double = F.when(
         k % 10 == 0,
         reason(
-            "duplicate_of", invoice_id=uuid_of(k - 1), similarity=F.lit(1.0),
+            "duplicate_of", invoice_id=uuid_of(F.greatest(k - 1, F.lit(0))), similarity=F.lit(1.0),
             match_method=F.lit("perceptual_hash"),
         ),
     )
@@ -248,7 +248,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("doc_id").alias("k"), uuid_of(F.col("doc_id")).alias("invoice_id"), "text",
             F.timestamp_seconds(F.col("doc_id") * 60).alias("uploaded_at"),
             F.sha2("text", 256).alias("file_hash"), "hash_bits",
-            F.when(F.col("doc_id") % 3 == 0, F.array(uuid_of(F.col("doc_id") - 1), uuid_of(F.lit(0))))
+            F.when(F.col("doc_id") % 3 == 0, F.array(uuid_of(F.greatest(F.col("doc_id") - 1, F.lit(0))), uuid_of(F.lit(0))))
             .otherwise(F.array().cast("array<string>")).alias("duplicate_dismissals"),
         )
     )
