@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
-    "search", "scalars", "triage", "history", "anomalies",
+    "search", "scalars", "triage", "history", "anomalies", "duplicates", "rollups", "usage",
 
 )
 

@@ -80,7 +80,7 @@ hc AS (SELECT invoice_id, count(total_amount) AS priors, CAST(coalesce(sum(total
 QUERIES["anomaly_listing"] = lambda spark, d: by_newest(_listing(spark, d)).select(
     "id", "status", "vendor", "headline", "severity", "currency", "value", "z_score", "acknowledged_by",
     F.size("history").alias("points"), F.regexp_extract("sub", r"(\d+ prior invoices?)", 1).alias("priors"),
-    F.round(F.aggregate("history", F.lit(0.0), lambda a, h: a + h["value"]), 1).alias("history_sum"),
+    F.round(F.aggregate("history", F.lit(0.0), lambda a, h: a + h["value"]), 2).alias("history_sum"),
     F.element_at("history", -1)["current"].alias("last_is_current"),
 )
 SQL["anomaly_listing"] = f"""WITH {LIST} SELECT l.invoice_id || ':amount:total' AS id, CASE WHEN acked THEN 'acknowledged' ELSE 'unreviewed' END AS status,
@@ -88,7 +88,7 @@ SQL["anomaly_listing"] = f"""WITH {LIST} SELECT l.invoice_id || ':amount:total'
   CASE WHEN z >= 4 THEN 'high' WHEN z >= 2.5 THEN 'medium' ELSE 'low' END AS severity, cur AS currency, value, z AS z_score,
   CASE WHEN acked THEN 'nation_' || (k % 5) || '@example.com' END AS acknowledged_by, CAST(coalesce(priors, 0) + 1 AS INTEGER) AS points,
   coalesce(priors, 0) || ' prior invoice' || CASE WHEN priors = 1 THEN '' ELSE 's' END AS priors,
-  round(coalesce(prior_sum, 0) + value, 1) AS history_sum, true AS last_is_current
+  round(coalesce(prior_sum, 0) + value, 2) AS history_sum, true AS last_is_current
 FROM l LEFT JOIN hc USING (invoice_id)"""
 
 QUERIES["anomaly_counts"] = lambda spark, d: anomaly_counts(_listing(spark, d))

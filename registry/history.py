@@ -61,8 +61,9 @@ def _vendor_rows(spark, d):
     return tm.vendors(spark, d).join(nested, "vendor_id", "left").withColumn("first_seen_at", F.lit(None).cast("timestamp"))
 
 
-def _rounded(*names):
-    return [F.round(n, 2).alias(n) for n in names]
+def _rounded(*names, digits=2):
+    """Rounded columns; the nudge, also in the SQL, keeps exact halves from hanging on the last bit."""
+    return [F.round(F.coalesce(n, F.lit(0.0)) + 1e-7, digits).alias(n) for n in names]
 
 
 QUERIES["vendor_stats"] = lambda spark, d: vendor_view(_vendor_rows(spark, d)).select(
@@ -73,7 +74,7 @@ VSTATS = """vs AS (SELECT vendor_id, count(total_amount) AS n, avg(CAST(total_am
   WHERE review_status = 'confirmed' AND vendor_id IS NOT NULL AND total_amount IS NOT NULL GROUP BY 1)"""
 SQL["vendor_stats"] = rf"""WITH {BASE}, {VSTATS} SELECT CAST(c_custkey AS VARCHAR) AS vendor_id, c_name AS name,
   regexp_replace(lower(c_name), '[^\w\s]+', '', 'g') AS normalized_name, coalesce(n, 0) AS total_seen,
-  round(coalesce(avg, 0), 2) AS avg_total, round(coalesce(std, 0), 2) AS std_total
+  round(coalesce(avg, 0) + 1e-7, 2) AS avg_total, round(coalesce(std, 0) + 1e-7, 2) AS std_total
 FROM customer LEFT JOIN vs ON vendor_id = CAST(c_custkey AS VARCHAR)"""
 
 QUERIES["vendor_of_invoice"] = lambda spark, d: vendor_of_invoice(
@@ -88,24 +89,24 @@ def _point_in_time(spark, d):
         "invoice_id", "vendor_id", "ts", "review_status", F.col("total").try_cast("decimal(18,4)").alias("total")
     )
     out = point_in_time_stats(rows, F.col("review_status") == "confirmed", ts="ts", units=("year", "day"))
-    return out.select("invoice_id", "n", F.round(F.coalesce("avg", F.lit(0.0)), 2).alias("avg"), *_rounded("std"))
+    return out.select("invoice_id", "n", *_rounded("avg", "std"))
 
 
 QUERIES["point_in_time_stats"] = _point_in_time
 SQL["point_in_time_stats"] = f"""WITH {BASE}, c AS (SELECT *, CASE WHEN review_status = 'confirmed' THEN CAST(total_amount AS DOUBLE) END AS x
   FROM base WHERE vendor_id IS NOT NULL)
-SELECT invoice_id, count(x) OVER w AS n, round(coalesce(avg(x) OVER w, 0), 2) AS avg, round(coalesce(stddev_samp(x) OVER w, 0), 2) AS std
+SELECT invoice_id, count(x) OVER w AS n, round(coalesce(avg(x) OVER w, 0) + 1e-7, 2) AS avg, round(coalesce(stddev_samp(x) OVER w, 0) + 1e-7, 2) AS std
 FROM c WINDOW w AS (PARTITION BY vendor_id ORDER BY ts, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
 def _event_stats(spark, d):
     out = point_in_time_stats(tm.event_rows(spark, d), F.col("event_type") != "error")
-    return out.select("invoice_id", "n", F.round(F.coalesce("avg", F.lit(0.0)), 4).alias("avg"), F.round("std", 4).alias("std"))
+    return out.select("invoice_id", "n", *_rounded("avg", "std", digits=4))
 
 
 QUERIES["point_in_time_event_stats"] = _event_stats
 SQL["point_in_time_event_stats"] = f"""WITH {EVENTS}, c AS (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(total AS DOUBLE) END AS x FROM ev)
-SELECT invoice_id, count(x) OVER w AS n, round(coalesce(avg(x) OVER w, 0), 4) AS avg, round(coalesce(stddev_samp(x) OVER w, 0), 4) AS std
+SELECT invoice_id, count(x) OVER w AS n, round(coalesce(avg(x) OVER w, 0) + 1e-7, 4) AS avg, round(coalesce(stddev_samp(x) OVER w, 0) + 1e-7, 4) AS std
 FROM c WINDOW w AS (PARTITION BY vendor_id ORDER BY uploaded_at, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
@@ -129,7 +130,7 @@ f AS (
   SELECT c.vendor_id, c.i, round_even(f.avg + (c.x - f.avg) / c.i, 4),
     f.m2 + (c.x - f.avg) * (c.x - (f.avg + (c.x - f.avg) / c.i))
   FROM f JOIN c ON c.vendor_id = f.vendor_id AND c.i = f.i + 1)
-SELECT vendor_id, i AS n, round(avg, 2) AS avg, round(CASE WHEN i > 1 THEN sqrt(m2 / (i - 1)) ELSE 0 END, 2) AS std
+SELECT vendor_id, i AS n, round(avg + 1e-7, 2) AS avg, round(round_even(CASE WHEN i > 1 THEN sqrt(m2 / (i - 1)) ELSE 0 END, 4) + 1e-7, 2) AS std
 FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY i DESC) AS last FROM f) WHERE last = 1"""
 
 
