@@ -152,9 +152,9 @@ QUERIES["acknowledge_failures"] = lambda spark, d: failed_requests(_checked(spar
 SQL["acknowledge_failures"] = f"""WITH {BASE}, {REQ} SELECT id, coalesce(bad, 'not_found') AS error FROM q, (SELECT unnest([0, 1])) WHERE bad IS NOT NULL OR NOT live"""
 
 QUERIES["acknowledge"] = lambda spark, d: acknowledge(_acks(spark, d), _checked(spark, d)).select(
-    "invoice_id", "user_id", F.date_format("acknowledged_at", "yyyy-MM-dd HH:mm").alias("at")
+    "invoice_id", "user_id", F.date_format("acknowledged_at", "yyyy-MM-dd HH:mm").alias("first_at")
 )
-SQL["acknowledge"] = f"""WITH {BASE}, {REQ} SELECT invoice_id, CAST(k % 5 AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d %H:%M') AS at
+SQL["acknowledge"] = f"""WITH {BASE}, {REQ} SELECT invoice_id, CAST(k % 5 AS VARCHAR) AS user_id, strftime(ts, '%Y-%m-%d %H:%M') AS first_at
 FROM q WHERE k % 3 = 0 OR (bad IS NULL AND live)"""
 
 

@@ -89,9 +89,9 @@ EVENTS = """ev AS (
 DOCS = """tok AS (
   SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)),
 th AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 16)) AS UBIGINT) AS h FROM tok),
-tb AS (SELECT doc_id, i, 2 * sum(CAST((h >> i) & 1 AS INTEGER)) > count(*) AS bit
-  FROM th, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2),
-sim AS (SELECT doc_id, CAST(sum(CASE WHEN bit THEN CAST(1 AS UHUGEINT) << i ELSE 0 END) AS UBIGINT) AS hash_bits
+tb AS (SELECT doc_id, i, 2 * sum(CAST((h >> i) & CAST(1 AS UBIGINT) AS INTEGER)) > count(*) AS bit
+  FROM th, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS i) GROUP BY 1, 2),
+sim AS (SELECT doc_id, CAST(sum(CASE WHEN bit THEN CAST(1 AS UBIGINT) << i ELSE 0 END) AS UBIGINT) AS hash_bits
   FROM tb GROUP BY 1),
 docs AS (
   SELECT documents.doc_id AS k, printf('00000000-0000-0000-0000-%012x', documents.doc_id) AS invoice_id, text,
