@@ -89,15 +89,16 @@ def round_exact(x: Column, digits: int) -> Column:
     """Round the exact binary value of a double, ties to even.
 
     Spark rounds the printed form of a double: 2.15, which is a little less than it looks,
-    would go up. Here the fraction is taken as a whole number of 2^-52 and compared in
-    integers.
+    would go up. Here the fraction is taken as a whole number of 2^-60 and compared as a
+    whole number.
     """
-    scale, unit = 10**digits, 1 << 52
+    scale, unit = 10**digits, 1 << 60
+    fraction = f"CAST(CAST((abs(x) - floor(abs(x))) * {unit}D AS BIGINT) AS DECIMAL(20,0))"
     body = let(
         "p",
-        f"named_struct('w', floor(abs(x)) * {scale}L, 'n', CAST((abs(x) - floor(abs(x))) * {unit}D AS BIGINT) * {scale}L)",
-        f"""CAST(p.w + p.n div {unit}L + if(p.n % {unit}L > {unit // 2}L
-            OR (p.n % {unit}L = {unit // 2}L AND (p.w + p.n div {unit}L) % 2 = 1), 1L, 0L) AS DOUBLE)
+        f"named_struct('w', floor(abs(x)) * {scale}L, 'n', {fraction} * {scale})",
+        f"""CAST(p.w + p.n div {unit} + if(p.n % {unit} > {unit // 2}
+            OR (p.n % {unit} = {unit // 2} AND (p.w + p.n div {unit}) % 2 = 1), 1L, 0L) AS DOUBLE)
             / {scale}D * if(x < 0, -1D, 1D)""",
     )
     return apply(body, x.cast("double"))

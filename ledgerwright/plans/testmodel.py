@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerwright.functions.dates import parse_period
 from ledgerwright.functions.text import normalize_name
-from ledgerwright.operators.anomalies import reason
 from ledgerwright.operators.fields import raw_text
 from ledgerwright.schema import FIELD, LINE_ITEM, REASON, TAX_ROW
 
@@ -27,6 +27,10 @@ def uuid_of(key: Column) -> Column:
     )
 
 
+def uuid_sql(key: str) -> str:
+    return f"concat('00000000-0000-0000-0000-', lpad(lower(hex({key})), 12, '0'))"
+
+
 def choose(key: Column, *options: Column | str) -> Column:
     """Option number key mod n."""
     n = len(options)
@@ -71,34 +75,27 @@ def order_rows(spark: SparkSession, sf_dir: str, amounts: bool = True) -> DataFr
         rows = rows.join(line_sums(spark, sf_dir), "k", "left")
     else:
         rows = rows.withColumns({x: F.lit(None).cast("decimal(18,2)") for x in ("subtotal", "tax")})
-    k, ts = F.col("k"), F.col("ts")
-    total = F.when((k % 5 == 0) | F.col("subtotal").isNull(), F.col("price")).otherwise(
-        (F.col("subtotal") + F.col("tax")).cast("decimal(18,2)")
-    )
-    day = lambda fmt: F.date_format(ts, fmt)
-    later = F.date_format(F.date_add(ts.cast("date"), 5), "MM/dd/yy")
-    return rows.select(
-        "k", uuid_of(k).alias("invoice_id"), "ts", "cname",
-        F.when(k % 17 == 0, None).otherwise(F.col("c").cast("string")).alias("vendor_id"),
-        F.when(F.col("s") == "F", "confirmed").when(F.col("s") == "P", "unprocessable")
-        .otherwise("pending").alias("review_status"),
-        F.when(k % 23 == 0, None).when(k % 29 == 0, "").otherwise(choose(
-            k, F.col("cname"), F.upper("cname"), F.concat(F.lit(" "), "cname", F.lit(" ")),
-            F.replace("cname", F.lit("#"), F.lit(" #")),
-        )).alias("vendor_name"),
-        F.when(k % 19 == 0, None).otherwise(F.concat(F.lit("INV-"), k.cast("string"))).alias("invoice_number"),
-        choose(
-            k, day("yyyy-MM-dd"), day("MM/dd/yyyy"), day("MMMM dd, yyyy"), day("dd-MMM-yy"),
-            day("MMMM yyyy"), F.concat(day("MM/dd/yy"), F.lit(" - "), later), F.lit("n/a"), day("MMM dd, yy"),
-        ).alias("invoice_date"),
-        F.col("subtotal").cast("string").alias("subtotal"),
-        F.col("tax").cast("string").alias("tax"),
-        F.when(k % 31 == 0, "N/A").otherwise(total.cast("string")).alias("total"),
-        F.when(k % 37 == 0, None).otherwise(
-            choose(F.col("nat"), *[F.lit(x) for x in ("USD", "EUR", "GBP", "XXX", "usd")])
-        ).alias("currency"),
-        F.when(k % 10 == 0, "likely_duplicate").when(k % 10 < 4, "needs_review")
-        .otherwise("confident").alias("state"),
+    # SQL text: one call per column keeps planning short.
+    return rows.selectExpr(
+        "k", f"{uuid_sql('k')} AS invoice_id", "ts", "cname",
+        "if(k % 17 = 0, NULL, CAST(c AS STRING)) AS vendor_id",
+        "CASE s WHEN 'F' THEN 'confirmed' WHEN 'P' THEN 'unprocessable' ELSE 'pending' END AS review_status",
+        """CASE WHEN k % 23 = 0 THEN NULL WHEN k % 29 = 0 THEN '' ELSE CASE k % 4 WHEN 0 THEN cname
+            WHEN 1 THEN upper(cname) WHEN 2 THEN concat(' ', cname, ' ')
+            ELSE replace(cname, '#', ' #') END END AS vendor_name""",
+        "if(k % 19 = 0, NULL, concat('INV-', k)) AS invoice_number",
+        """CASE k % 8 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, 'MM/dd/yyyy')
+            WHEN 2 THEN date_format(ts, 'MMMM dd, yyyy') WHEN 3 THEN date_format(ts, 'dd-MMM-yy')
+            WHEN 4 THEN date_format(ts, 'MMMM yyyy')
+            WHEN 5 THEN concat(date_format(ts, 'MM/dd/yy'), ' - ', date_format(date_add(CAST(ts AS DATE), 5), 'MM/dd/yy'))
+            WHEN 6 THEN 'n/a' ELSE date_format(ts, 'MMM dd, yy') END AS invoice_date""",
+        "CAST(subtotal AS STRING) AS subtotal", "CAST(tax AS STRING) AS tax",
+        """CASE WHEN k % 31 = 0 THEN 'N/A' WHEN k % 5 = 0 OR subtotal IS NULL THEN CAST(price AS STRING)
+            ELSE CAST(CAST(subtotal + tax AS DECIMAL(18,2)) AS STRING) END AS total""",
+        """if(k % 37 = 0, NULL, CASE nat % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP'
+            WHEN 3 THEN 'XXX' WHEN 4 THEN 'usd' END) AS currency""",
+        """CASE WHEN k % 10 = 0 THEN 'likely_duplicate' WHEN k % 10 < 4 THEN 'needs_review'
+            ELSE 'confident' END AS state""",
     )
 
 
@@ -111,14 +108,17 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _field(value: Column, score: Column, period: Column | None = None) -> Column:
-    null = F.lit(None).cast("string")
-    return F.struct(
-        value.alias("value"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(0).alias("page"),
-        score.alias("confidence"), F.lit("pymupdf+haiku").alias("source"),
-        (period["iso_from"] if period is not None else null).alias("iso_from"),
-        (period["iso_to"] if period is not None else null).alias("iso_to"),
-    ).cast(FIELD)
+def _field(name: str, score: str) -> str:
+    period = name == "invoice_date"
+    ends = "period.iso_from, period.iso_to" if period else "NULL, NULL"
+    return f"'{name}', CAST(struct({name}, NULL, 0, {score}, 'pymupdf+haiku', {ends}) AS {FIELD.simpleString()})"
+
+
+def _reason(kind: str, **members: str) -> str:
+    listed = ", ".join(
+        f"CAST({members.get(f.name, 'NULL')} AS {f.dataType.simpleString()})" for f in REASON.fields if f.name != "type"
+    )
+    return f"CAST(struct('{kind}', {listed}) AS {REASON.simpleString()})"
 
 
 def extractions(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
@@ -126,67 +126,37 @@ def extractions(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFr
 
     `texts` adds line items and the searchable text.
     """
-    from ledgerwright.functions.dates import parse_period
-
-    rows = order_rows(spark, sf_dir)
-    k = F.col("k")
-    score = lambda m: (k % m).cast("double") / m
-    empty_items, empty_tax = F.array().cast("array<string>"), F.array()
-    rows = rows.withColumn("__period", parse_period(F.col("invoice_date")))
-    fields = F.create_map(*[
-        x
-        for name, s, period in (
-            ("vendor_name", score(7), None), ("invoice_number", score(11), None),
-            ("invoice_date", score(13), F.col("__period")), ("total", score(10), None),
-            ("currency", F.lit(1.0), None), ("subtotal", F.lit(0.9), None), ("tax", F.lit(0.9), None),
-        )
-        for x in (F.lit(name), _field(F.col(name), s, period))
-    ])
-    confidence = F.create_map(
-        F.lit("total"), score(10), F.lit("vendor_name"), score(7), F.lit("invoice_date"), score(13)
-    )
-    odd = F.when(
-        k % 7 == 0,
-        reason(
-            "anomaly", field=F.lit("total"), vendor_mean=(k % 1000 * 100).cast("double"),
-            vendor_std=F.lit(100.0), z_score=(k % 60).cast("double") / 10,
-        ),
-    )
-    double = F.when(
-        k % 10 == 0,
-        reason(
-            "duplicate_of", invoice_id=uuid_of(F.greatest(k - 1, F.lit(0))), similarity=F.lit(1.0),
-            match_method=F.lit("perceptual_hash"),
-        ),
-    )
-    reasons = F.filter(F.array(double, odd), lambda r: r.isNotNull())
+    rows = order_rows(spark, sf_dir).withColumn("period", parse_period(F.col("invoice_date")))
+    scores = {
+        "vendor_name": "(k % 7) / 7D", "invoice_number": "(k % 11) / 11D", "invoice_date": "(k % 13) / 13D",
+        "total": "(k % 10) / 10D", "currency": "1D", "subtotal": "0.9D", "tax": "0.9D",
+    }
+    fields = ", ".join(_field(name, score) for name, score in scores.items())
+    kept = ", ".join(f"'{name}', {scores[name]}" for name in ("total", "vendor_name", "invoice_date"))
+    double = _reason(
+        "duplicate_of", invoice_id=uuid_sql("greatest(k - 1, 0)"), similarity="1", match_method="'perceptual_hash'"
+    )
+    odd = _reason("anomaly", field="'total'", vendor_mean="k % 1000 * 100", vendor_std="100", z_score="(k % 60) / 10D")
+    items = f"array<{LINE_ITEM.simpleString()}>"
     if texts:
-        li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice")
-        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-        item = F.struct(
-            F.col("p_name").alias("description"), F.col("l_quantity").alias("quantity"),
-            F.lit(None).cast("double").alias("unit_price"), F.col("l_extendedprice").alias("line_total"),
-            F.lit(None).cast("array<double>").alias("bbox"), F.lit(0).alias("page"), F.lit(0.9).alias("confidence"),
-        ).cast(LINE_ITEM)
-        items = li.join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("k")).agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("i")))),
-                lambda x: x["i"],
-            ).alias("line_items")
+        li = table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"
         )
-        rows = rows.join(items, "k", "left")
+        part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+        listed = f"""transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_extendedprice, CAST(struct(p_name, l_quantity,
+            NULL, l_extendedprice, NULL, 0, 0.9D) AS {LINE_ITEM.simpleString()}) AS i))), x -> x.i) AS line_items"""
+        nested = li.join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("k")).agg(F.expr(listed))
+        rows = rows.join(nested, "k", "left")
     else:
-        rows = rows.withColumn("line_items", F.lit(None))
-    rows = rows.withColumn("line_items", F.coalesce(F.col("line_items").cast(f"array<{LINE_ITEM.simpleString()}>"), F.array().cast(f"array<{LINE_ITEM.simpleString()}>")))
-    rows = rows.withColumn("version", F.explode(F.when(k % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    old = F.col("version") == 1
-    made = rows.select(
-        "k", F.concat("invoice_id", F.when(old, "-old").otherwise("")).alias("extraction_id"),
-        "invoice_id", F.when(old, "haiku-a").otherwise("sonnet-b").alias("model"),
-        fields.alias("fields"), confidence.alias("confidence"), "state", reasons.alias("reasons"),
-        "line_items", F.array().cast(f"array<{TAX_ROW.simpleString()}>").alias("tax_rows"),
-        (~old).alias("is_current"),
-        F.when(old, F.col("ts") - F.expr("interval 1 day")).otherwise(F.col("ts")).alias("created_at"),
+        rows = rows.withColumn("line_items", F.expr(f"CAST(NULL AS {items})"))
+    rows = rows.selectExpr("*", "explode(if(k % 3 = 0, array(0, 1), array(0))) AS version")
+    made = rows.selectExpr(
+        "k", "concat(invoice_id, if(version = 1, '-old', '')) AS extraction_id", "invoice_id",
+        "if(version = 1, 'haiku-a', 'sonnet-b') AS model", f"map({fields}) AS fields", f"map({kept}) AS confidence",
+        "state", f"filter(array(if(k % 10 = 0, {double}, NULL), if(k % 7 = 0, {odd}, NULL)), r -> r IS NOT NULL) AS reasons",
+        f"coalesce(line_items, CAST(array() AS {items})) AS line_items",
+        f"CAST(array() AS array<{TAX_ROW.simpleString()}>) AS tax_rows",
+        "version = 0 AS is_current", "if(version = 1, ts - interval 1 day, ts) AS created_at",
     )
     return made.withColumn("raw_text", raw_text(F.col("fields"), F.col("line_items"), F.col("tax_rows")))
 

@@ -13,7 +13,7 @@ from ledgerwright.operators.vendors import (
     fold_confirms, point_in_time_stats, resolve_vendors, vendor_stats,
 )
 from ledgerwright.plans import testmodel as tm
-from registry.sqlmodel import BASE, EVENTS, ORD
+from registry.sqlmodel import BASE, EVENTS, ORD, R4
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -117,7 +117,7 @@ def _fold(spark, d):
     )
     early = F.col("ts") < F.lit("1998-01-01").cast("timestamp")
     first = fold_confirms(None, rows.where(early), ts="ts")
-    return fold_confirms(first, rows.where(~early), ts="ts").select("vendor_id", "n", *_rounded("avg", "std"))
+    return fold_confirms(first, rows.where(~early), ts="ts").select("vendor_id", "n", "avg", "std")
 
 
 QUERIES["vendor_stats_fold"] = _fold
@@ -125,12 +125,12 @@ SQL["vendor_stats_fold"] = f"""WITH RECURSIVE {BASE}, c AS (
   SELECT vendor_id, CAST(total_amount AS DOUBLE) AS x, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, invoice_id) AS i
   FROM base WHERE review_status = 'confirmed' AND vendor_id IS NOT NULL AND total_amount IS NOT NULL),
 f AS (
-  SELECT vendor_id, i, round(x, 4) AS avg, 0.0::DOUBLE AS m2 FROM c WHERE i = 1
+  SELECT vendor_id, i, {R4('x')} AS avg, 0.0::DOUBLE AS m2 FROM c WHERE i = 1
   UNION ALL
-  SELECT c.vendor_id, c.i, round_even(f.avg + (c.x - f.avg) / c.i, 4),
+  SELECT c.vendor_id, c.i, {R4('f.avg + (c.x - f.avg) / c.i')},
     f.m2 + (c.x - f.avg) * (c.x - (f.avg + (c.x - f.avg) / c.i))
   FROM f JOIN c ON c.vendor_id = f.vendor_id AND c.i = f.i + 1)
-SELECT vendor_id, i AS n, round(avg + 1e-7, 2) AS avg, round(round_even(CASE WHEN i > 1 THEN sqrt(m2 / (i - 1)) ELSE 0 END, 4) + 1e-7, 2) AS std
+SELECT vendor_id, i AS n, avg, {R4('CASE WHEN i > 1 THEN sqrt(m2 / (i - 1)) ELSE 0 END')} AS std
 FROM (SELECT *, row_number() OVER (PARTITION BY vendor_id ORDER BY i DESC) AS last FROM f) WHERE last = 1"""
 
 

@@ -31,6 +31,11 @@ def period_sql(text: str) -> tuple[str, str]:
     )
 
 
+def R4(x: str) -> str:
+    """Four places, rounded from the exact binary value as printf does."""
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(printf('%.4f', CAST({x} AS DOUBLE)) AS DOUBLE) END"
+
+
 LINES = """lines AS (
   SELECT l_orderkey AS k,
     CAST(round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2) AS DECIMAL(18,2)) AS subtotal,

@@ -36,10 +36,10 @@ SQL["usage_by_model"] = f"""WITH {COST} SELECT model, count(*) AS calls, CAST(su
   round(CAST(sum(cost) AS DOUBLE), 6) AS cost_usd, round(CAST(sum(cost) AS DOUBLE) / CAST(sum(sum(cost)) OVER () AS DOUBLE), 6) AS share FROM cost GROUP BY 1"""
 
 QUERIES["budget_cutoff"] = lambda spark, d: budget_cutoff(price_calls(tm.usage_rows(spark, d)), 0.5).select(
-    "id", F.round("spent_before", 6).alias("spent_before"), "refused"
+    "id", F.round(F.col("spent_before") + 1e-9, 6).alias("spent_before"), "refused"
 )
 SQL["budget_cutoff"] = f"""WITH {COST}, b AS (SELECT id, CAST(coalesce(sum(cost) OVER (ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS s FROM cost)
-SELECT id, round(s, 6) AS spent_before, s >= 0.5 AS refused FROM b"""
+SELECT id, round(s + 1e-9, 6) AS spent_before, s >= 0.5 AS refused FROM b"""
 
 
 def _traces(spark, d):
