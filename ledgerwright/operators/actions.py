@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.operators.fields import promote
 
 CONFIRM, UNPROCESSABLE, DISMISS = "confirm", "mark_unprocessable", "dismiss_duplicate"
 
@@ -55,12 +56,10 @@ def confirm_events(actions: DataFrame, base: DataFrame) -> DataFrame:
 
     An invoice counts once, at its first confirmation, however often it is confirmed.
     """
-    from ledgerwright.operators.fields import field_value
-
     first = actions.where(F.col("action") == CONFIRM).groupBy("invoice_id").agg(
         F.min("acted_at").alias("confirmed_at")
     )
-    totals = base.where(F.col("vendor_id").isNotNull()).select(
-        "vendor_id", "invoice_id", field_value("total").try_cast("double").alias("total")
+    totals = promote(base, "total_amount").where(F.col("vendor_id").isNotNull()).select(
+        "vendor_id", "invoice_id", F.col("total_amount").cast("double").alias("total")
     )
     return totals.join(first, "invoice_id")

@@ -9,7 +9,7 @@ from ledgerwright import fixed
 from ledgerwright.functions.amounts import round_exact
 from ledgerwright.functions.sqltext import apply
 from ledgerwright.functions.wording import explanation, headline, severity
-from ledgerwright.operators.fields import field_value
+from ledgerwright.operators.fields import promote
 from ledgerwright.operators.ordered import newest_n
 from ledgerwright.schema import REASON
 
@@ -97,14 +97,14 @@ def vendor_history(base: DataFrame, limit: int = fixed.HISTORY_LIMIT) -> DataFra
 
     One more than needed is kept, so that any single invoice can be left out later.
     """
-    confirmed = base.where(
+    confirmed = promote(base, "total_amount").where(
         (F.col("review_status") == fixed.CONFIRMED) & F.col("vendor_id").isNotNull()
-    ).select("vendor_id", "invoice_id", "uploaded_at", field_value("total").alias("text"))
+    ).select("vendor_id", "invoice_id", "uploaded_at", F.col("total_amount").cast("double").alias("total"))
     top = newest_n(
         confirmed, ["vendor_id"], [F.desc("uploaded_at"), F.asc("invoice_id")], limit + 1
     )
     return top.groupBy("vendor_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "invoice_id", "text"))).alias("recent")
+        F.array_sort(F.collect_list(F.struct("rank", "invoice_id", "total"))).alias("recent")
     )
 
 
@@ -112,7 +112,7 @@ def prior_values(recent: Column, invoice_id: Column, limit: int = fixed.HISTORY_
     """Values of the newest `limit` other invoices, newest first; the limit comes before
     totals that are no numbers are dropped."""
     others = F.slice(F.filter(recent, lambda h: h["invoice_id"] != invoice_id), 1, limit)
-    numbers = F.transform(others, lambda h: h["text"].try_cast("double"))
+    numbers = F.transform(others, lambda h: h["total"])
     return F.coalesce(
         F.filter(numbers, lambda v: v.isNotNull()), F.array().cast("array<double>")
     )
@@ -147,10 +147,10 @@ def list_anomalies(base: DataFrame, acks: DataFrame, users: DataFrame | None = N
 
     `base` is the joined relation of invoices, current extractions and vendors.
     """
-    flagged = base.where(F.col("vendor_id").isNotNull()).select(
+    flagged = promote(base, "total_amount", "currency").where(F.col("vendor_id").isNotNull()).select(
         "invoice_id", "vendor_id", "uploaded_at", F.col("vendor_table_name").alias("vendor"),
-        F.coalesce(field_value("total").try_cast("double"), F.lit(0.0)).alias("value"),
-        F.coalesce(F.nullif(field_value("currency"), F.lit("")), F.lit("USD")).alias("currency"),
+        F.coalesce(F.col("total_amount").cast("double"), F.lit(0.0)).alias("value"),
+        F.coalesce(F.nullif("currency", F.lit("")), F.lit("USD")).alias("currency"),
         F.explode("reasons").alias("r"),
     ).where((F.col("r.type") == "anomaly") & (F.col("r.field") == FIELD_NAME))
     keyed_acks = acks.where((F.col("subtype") == SUBTYPE) & (F.col("field") == FIELD_NAME)).select(

@@ -46,11 +46,11 @@ TYPED_COLUMNS = {
 }
 
 
-def promote(extractions: DataFrame) -> DataFrame:
-    """Add the typed columns the structured query reads; stored ones are left alone."""
+def promote(extractions: DataFrame, *names: str) -> DataFrame:
+    """Add the named typed columns, or all; stored ones are left alone."""
     have = set(extractions.columns)
     return extractions.withColumns(
-        {name: make() for name, make in TYPED_COLUMNS.items() if name not in have}
+        {name: TYPED_COLUMNS[name]() for name in names or TYPED_COLUMNS if name not in have}
     )
 
 

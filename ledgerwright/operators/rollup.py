@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
-from ledgerwright.functions.amounts import amount
 from ledgerwright.functions.scoring import min_confidence
 from ledgerwright.functions.text import strip
-from ledgerwright.operators.fields import field_value
+from ledgerwright.operators.fields import field_value, promote
 from ledgerwright.operators.ordered import running_totals
 
 STATES = (fixed.NEEDS_REVIEW, fixed.CONFIDENT, fixed.LIKELY_DUPLICATE)
@@ -52,12 +51,12 @@ def nav_counts(base: DataFrame) -> DataFrame:
 
 
 def vendor_label() -> Column:
-    """Trimmed extracted vendor name, null if nothing is left."""
-    return F.nullif(strip(field_value("vendor_name")), F.lit(""))
+    """Trimmed extracted vendor name, null if nothing is left; reads a promoted relation."""
+    return F.nullif(strip(F.col("vendor_text")), F.lit(""))
 
 
 def vendor_count(base: DataFrame) -> DataFrame:
-    return base.agg(F.countDistinct(vendor_label()).alias("vendors"))
+    return promote(base, "vendor_text").agg(F.countDistinct(vendor_label()).alias("vendors"))
 
 
 def trend(older: Column, older_n: Column, recent: Column, recent_n: Column) -> Column:
@@ -80,8 +79,8 @@ def vendor_rollup(base: DataFrame) -> DataFrame:
     their own (`vendor_invoices`), not an array without bound.
     """
     open_state = F.col("state").isin(fixed.NEEDS_REVIEW, fixed.LIKELY_DUPLICATE)
-    total = amount(field_value("total"))
-    rows = base.select(
+    total = F.col("total_amount")
+    rows = promote(base, "vendor_text", "total_amount").select(
         vendor_label().alias("name"), "invoice_id",
         F.coalesce(field_value("invoice_date"), F.lit("")).alias("date_text"),
         F.when(total > 0, total).alias("spent"),
@@ -129,7 +128,7 @@ def sort_vendors(rolled: DataFrame, by: str = "total_spent") -> DataFrame:
 
 def vendor_invoices(base: DataFrame, name: str) -> DataFrame:
     """Invoices of one vendor, newest date text first."""
-    return base.where(vendor_label() == name).orderBy(
+    return promote(base, "vendor_text").where(vendor_label() == name).orderBy(
         F.coalesce(field_value("invoice_date"), F.lit("")).desc(), F.asc("invoice_id")
     )
 

@@ -7,6 +7,8 @@ so they are the same whatever the order rows are added in.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,20 @@ from ledgerwright.operators.fields import raw_text
 from ledgerwright.schema import FIELD, LINE_ITEM, REASON, TAX_ROW
 
 
+KEYS = {
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
+    "conversations": "conv_id",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One kept in a single file has a single split and would be worked on by
+    one task, so its rows are spread by key; a table of many files is read as it is."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in KEYS and os.path.isfile(path):
+        return df.repartition(spark.sparkContext.defaultParallelism, KEYS[name])
+    return df
 
 
 def uuid_of(key: Column) -> Column:
@@ -157,6 +171,10 @@ def extractions(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFr
         f"coalesce(line_items, CAST(array() AS {items})) AS line_items",
         f"CAST(array() AS array<{TAX_ROW.simpleString()}>) AS tax_rows",
         "version = 0 AS is_current", "if(version = 1, ts - interval 1 day, ts) AS created_at",
+        # The typed columns that are stored next to the map.
+        "vendor_name AS vendor_text", "currency", "try_cast(total AS DECIMAL(18,4)) AS total_amount",
+        "try_cast(subtotal AS DECIMAL(18,4)) AS subtotal_amount", "try_cast(tax AS DECIMAL(18,4)) AS tax_amount",
+        "CAST(period.iso_from AS DATE) AS period_start",
     )
     return made.withColumn("raw_text", raw_text(F.col("fields"), F.col("line_items"), F.col("tax_rows")))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerwright.operators.fields import field_value
 from ledgerwright.operators.usage import price_calls
+from ledgerwright.schema import EXTRACTIONS
 
 EXPORT_COLUMNS = (
     "invoice_id", "vendor_name", "invoice_number", "invoice_date", "subtotal", "tax", "total",
@@ -57,3 +59,8 @@ def append_usage(calls: DataFrame, path: str) -> None:
 def write_extractions(extractions: DataFrame, path: str) -> None:
     """Extractions split by is_current, so that scans of current rows skip the others."""
     extractions.write.mode("overwrite").partitionBy("is_current").parquet(path)
+
+
+def read_extractions(spark: SparkSession, path: str, schema: StructType = EXTRACTIONS) -> DataFrame:
+    """Extractions written above; the declared type makes is_current a flag, not text."""
+    return spark.read.schema(schema).parquet(path)

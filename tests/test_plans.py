@@ -16,7 +16,7 @@ from ledgerwright.plans.process import Stored, new_documents, process
 from ledgerwright.plans.query import QueryError, StructuredQuery, filtered, run_aggregate, run_query, search
 from ledgerwright.schema import EXTRACTIONS, INVOICES, TIER_RESULTS
 from ledgerwright.sources import ingest as src
-from ledgerwright.sources.export import append_usage, write_export, write_extractions
+from ledgerwright.sources.export import append_usage, read_extractions, write_export, write_extractions
 from ledgerwright.streaming.ingest import document_stream, ingest, keep_new
 from ledgerwright.streaming.vendor_stats import running_vendor_stats
 
@@ -260,7 +260,9 @@ def test_sinks(spark, tmp_path):
     assert [r.cost_usd for r in spark.read.parquet(str(tmp_path / "usage")).collect()] == [0.001, 0.001]
     ext = spark.createDataFrame([("e1", True), ("e2", False)], "extraction_id string, is_current boolean")
     write_extractions(ext, str(tmp_path / "ext"))
-    assert "PartitionFilters: [isnotnull(is_current" in spark.read.parquet(str(tmp_path / "ext")).where("is_current").select("extraction_id")._jdf.queryExecution().toString()
+    current = read_extractions(spark, str(tmp_path / "ext"), ext.schema).where("is_current").select("extraction_id")
+    assert [r.extraction_id for r in current.collect()] == ["e1"]
+    assert "PartitionFilters: [isnotnull(is_current" in current._jdf.queryExecution().toString()
 
 
 def test_stream_ingest_keeps_the_first_and_can_run_again(spark, tmp_path):
