@@ -17,10 +17,11 @@ def time_buckets(ts: str, *units: str) -> list[Column]:
     return [F.date_trunc(unit, F.col(ts)) for unit in units]
 
 
-def _same(left: str, right: str, names: list[str]) -> Column:
+def _known(names: list[str]) -> Column:
+    """Are all the named columns set?"""
     cond = F.lit(True)
     for name in names:
-        cond = cond & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+        cond = cond & F.col(name).isNotNull()
     return cond
 
 
@@ -34,7 +35,8 @@ def running_totals(
     """`df` plus, for each measure, its sum over the key's rows strictly before the row.
 
     `buckets` go from coarse to fine and must grow with `order`. With no keys the order
-    is global. Null measures count as zero.
+    is global. Null measures count as zero, and a row without a key or time has nothing
+    before it. The rows are shuffled once, by key and bucket, for the join and the window.
     """
     marks = [f"__b{i}" for i in range(len(buckets))]
     sums = list(measures)
@@ -57,29 +59,28 @@ def running_totals(
             *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__c_{s}") for s in sums],
         )
         if carried is not None:
-            level = level.alias("n").join(carried.alias("o"), _same("n", "o", part)).select(
-                *[f"n.{c}" for c in part], f"n.{marks[depth]}",
-                *[(F.col(f"n.__c_{s}") + F.col(f"o.__c_{s}")).alias(f"__c_{s}") for s in sums],
+            coarse = carried.withColumnsRenamed({f"__c_{s}": f"__o_{s}" for s in sums})
+            level = level.join(coarse, part).select(
+                *part, marks[depth],
+                *[(F.col(f"__c_{s}") + F.col(f"__o_{s}")).alias(f"__c_{s}") for s in sums],
             )
         carried = level
     inside = Window.partitionBy(*keys, *marks).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    joined = base.alias("r").join(carried.alias("p"), _same("r", "p", keys + marks), "left")
-    flat = joined.select("r.*", *[f"p.__c_{s}" for s in sums])
-    return flat.select(
+    joined = base.join(carried, keys + marks, "left")
+    total = lambda s: F.col(f"__c_{s}") + F.coalesce(F.sum(f"__m_{s}").over(inside), F.lit(0))
+    return joined.select(
         *df.columns,
-        *[
-            (F.col(f"__c_{s}") + F.coalesce(F.sum(f"__m_{s}").over(inside), F.lit(0))).alias(s)
-            for s in sums
-        ],
+        *[F.coalesce(F.when(_known(keys + marks), total(s)), F.lit(0)).alias(s) for s in sums],
     )
 
 
 def previous_row(
     df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: list[str], name: str
 ) -> DataFrame:
-    """`df` plus struct `name`: the payload of the key's row just before, null for its first."""
+    """`df` plus struct `name`: the payload of the key's row just before, null for its first
+    and for rows without a key."""
     base = df.withColumns({
         "__b": bucket, "__o": F.struct(*order), "__p": F.struct(*payload),
     })
@@ -87,10 +88,9 @@ def previous_row(
     over = Window.partitionBy(*keys).orderBy("__b")
     earlier = last.withColumn("__e", F.lag("__l").over(over))
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    joined = base.alias("r").join(earlier.alias("p"), _same("r", "p", keys + ["__b"]), "left")
-    return joined.select("r.*", "p.__e").select(
-        *df.columns, F.coalesce(F.lag("__p").over(inside), F.col("__e")).alias(name)
-    )
+    joined = base.join(earlier.drop("__l"), keys + ["__b"], "left")
+    found = F.coalesce(F.lag("__p").over(inside), F.col("__e"))
+    return joined.select(*df.columns, F.when(_known(keys + ["__b"]), found).alias(name))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

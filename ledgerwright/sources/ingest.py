@@ -43,13 +43,20 @@ def address_content(files: DataFrame) -> DataFrame:
     return hashed.withColumn("storage_key", F.concat("file_hash", F.lit(".pdf")))
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Binary files below a path, addressed by content."""
+def read_documents(
+    spark: SparkSession, path: str, glob: str = "*.pdf", keep_content: bool = False
+) -> DataFrame:
+    """Binary files below a path, addressed by content.
+
+    The bytes are dropped once they are hashed, so that later shuffles move paths and
+    hashes only; `keep_content` keeps them.
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true").load(path)
     )
-    return address_content(files)
+    addressed = address_content(files)
+    return addressed if keep_content else addressed.drop("content")
 
 
 def drop_known(
