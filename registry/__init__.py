@@ -11,7 +11,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "search", "scalars", "triage", "history", "anomalies", "duplicates", "rollups", "usage",
     "evaluation", "actions", "documents", "streams",
-
 )
 
 
