@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.llm import licenses
+from ledgerwright.llm import curriculum, licenses
 from ledgerwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,3 +20,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_license_scan"] = op9_license_scan
 SQL["op9_license_scan"] = licenses.oracle()
+
+
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return curriculum.mix_report(curriculum.mix(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op3_curriculum_mix"] = op3_curriculum_mix
+SQL["op3_curriculum_mix"] = curriculum.oracle()
