@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.llm import curriculum, licenses
+from ledgerwright.llm import curriculum, exact_stream, licenses
 from ledgerwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,14 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_curriculum_mix"] = op3_curriculum_mix
 SQL["op3_curriculum_mix"] = curriculum.oracle()
+
+
+def op6_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one of equal texts that stays, by a stream with keyed state."""
+    docs = table(spark, sf_dir, "documents")
+    stream = exact_stream.described(exact_stream.document_stream(spark, sf_dir, docs.schema, 256 << 20))
+    return exact_stream.deduplicate(docs, stream)
+
+
+QUERIES["op6_exact_stream"] = op6_exact_stream
+SQL["op6_exact_stream"] = exact_stream.oracle()
