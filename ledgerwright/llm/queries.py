@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwright.llm import curriculum, exact_stream, licenses
+from ledgerwright.llm import curriculum, exact_stream, licenses, packing
 from ledgerwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,11 @@ def op6_exact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op6_exact_stream"] = op6_exact_stream
 SQL["op6_exact_stream"] = exact_stream.oracle()
+
+
+def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_vector_packing"] = op10_vector_packing
