@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, licenses, packing
+from ledgerwright.llm import curriculum, exact_stream, licenses, packing, rollups, snapshots
 from ledgerwright.llm.common import table
+from ledgerwright.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +50,31 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_vector_packing"] = op10_vector_packing
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after three batches over all documents, the second of them delivered twice.
+
+    All documents come in; those labelled toxic are deleted; those labelled of low quality
+    are counted again with runs of blanks squeezed.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    store = rollups.TokenRollup(spark, new_path(spark, "token-rollup"))
+    store.commit(1, rollups.counted(docs, "insert", 1))
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    store.commit(2, rollups.removed(toxic, 2))
+    store.commit(2, rollups.removed(toxic, 2))
+    poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    again = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    store.commit(3, rollups.counted(again, "revise", 3))
+    return store.totals()
+
+
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations that no longer one continues, in chat markup."""
+    return snapshots.render_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES["op2_token_rollup"] = op2_token_rollup
+QUERIES["op7_chat_snapshots"] = op7_chat_snapshots
+SQL["op7_chat_snapshots"] = snapshots.oracle()
