@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, licenses, packing, rollups, snapshots
+from ledgerwright.llm import curriculum, exact_stream, fingerprints, licenses, packing, rollups, snapshots
 from ledgerwright.llm.common import table
 from ledgerwright.session import new_path
 
@@ -78,3 +78,11 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_token_rollup"] = op2_token_rollup
 QUERIES["op7_chat_snapshots"] = op7_chat_snapshots
 SQL["op7_chat_snapshots"] = snapshots.oracle()
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts."""
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_fingerprints"] = op4_fingerprints
