@@ -21,6 +21,10 @@ from ledgerwright.session import new_path
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+#: Many small stores must not each set aside megabytes of disk.
+RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+#: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -35,7 +39,7 @@ def digest(norm: Column) -> Column:
 @contextmanager
 def _rocksdb(spark: SparkSession):
     """State on disk while a stream of ours starts; the caller's settings come back after."""
-    wanted = {PROVIDER: ROCKSDB, CHANGELOG: "true"}
+    wanted = {PROVIDER: ROCKSDB, CHANGELOG: "true", RESERVE: "false"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -120,8 +124,12 @@ def deduplicate(docs: DataFrame, stream: DataFrame, checkpoint: str | None = Non
     spark = docs.sparkSession
     state = stored(run_stream(stream, checkpoint or new_path(spark, "dedup-state")), "dedup-groups")
     rows = stored(described(docs, digest_of).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
-    hits = state.where("rows > 1").select("digest")
-    texts = described_texts(docs, digest_of).join(hits, "digest", "left_semi")
+    hits = stored(state.where("rows > 1").select(F.xxhash64("digest").alias("key")), "dedup-hits")
+    few = hits.count() <= BROADCAST_KEYS
+    # Rows of other contents fall out before the shuffle; the few that share a key by chance do no harm.
+    texts = described_texts(docs, digest_of).withColumn("key", F.xxhash64("digest")).join(
+        F.broadcast(hits) if few else hits, "key", "left_semi"
+    )
     contents = texts.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("contents"))
     collided = stored(contents.where("contents > 1").select("digest"), "dedup-collided")
     result = _labelled(rows, state, ["digest"])
