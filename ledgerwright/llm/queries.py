@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, fingerprints, licenses, packing, rollups, snapshots
+from ledgerwright.llm import curriculum, exact_stream, fingerprints, licenses, neardup, packing, rollups, snapshots
 from ledgerwright.llm.common import table
 from ledgerwright.session import new_path
 
@@ -86,3 +86,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_fingerprints"] = op4_fingerprints
+
+
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents by four-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+QUERIES["op1_near_duplicates"] = op1_near_duplicates
