@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +91,16 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def chunks(frame, size: int) -> Iterable:
-    for at in range(0, len(frame), size):
-        yield frame.iloc[at:at + size]
+#: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def keep_keys(wide: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of `wide` whose column `name` (null included) is in the one-column table `keys`.
+
+    The keys are written and counted first. While they are few enough for every executor
+    to hold, wide rows are filtered where they are read; beyond that both sides are shuffled.
+    """
+    keys = stored(keys.select(F.col(name).alias("wanted_key")), "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    return wide.join(F.broadcast(keys) if few else keys, F.col(name).eqNullSafe(F.col("wanted_key")), "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import curriculum, exact_stream, fingerprints, licenses, neardup, packing, rollups, snapshots
-from ledgerwright.llm.common import table
+from ledgerwright.llm.common import keep_keys, table
 from ledgerwright.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,7 +65,7 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit(2, rollups.removed(toxic, 2))
     store.commit(2, rollups.removed(toxic, 2))
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    again = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    again = keep_keys(docs, poor, "doc_id").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     store.commit(3, rollups.counted(again, "revise", 3))
     return store.totals()
 
