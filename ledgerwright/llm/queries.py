@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, fingerprints, licenses, neardup, packing, rollups, snapshots
+from ledgerwright.llm import curriculum, exact_stream, fingerprints, language, licenses, neardup, packing, rollups, snapshots
 from ledgerwright.llm.common import keep_keys, table
 from ledgerwright.session import new_path
 
@@ -94,3 +94,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_near_duplicates"] = op1_near_duplicates
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, *language.learn(docs))
+
+
+QUERIES["op8_language_id"] = op8_language_id
