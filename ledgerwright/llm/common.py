@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerwright.session import new_path
 
@@ -104,3 +106,18 @@ def keep_keys(wide: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     keys = stored(keys.select(F.col(name).alias("wanted_key")), "keys")
     few = keys.count() <= BROADCAST_KEYS
     return wide.join(F.broadcast(keys) if few else keys, F.col(name).eqNullSafe(F.col("wanted_key")), "left_semi")
+
+
+def map_columns(df: DataFrame, make, schema: str) -> DataFrame:
+    """Rows made from `df` by Python, a batch of columns at a time.
+
+    `make` takes an iterator of dicts of lists (one per Arrow batch) and yields dicts of
+    lists or arrays with the columns of `schema`. Integers stay exact next to nulls.
+    """
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches):
+        for made in make(b.to_pydict() for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)

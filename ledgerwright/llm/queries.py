@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, fingerprints, language, licenses, neardup, packing, rollups, snapshots
+from ledgerwright.llm import curriculum, exact_stream, fingerprints, language, licenses, neardup, packing, rollups, snapshots, toxicity
 from ledgerwright.llm.common import keep_keys, table
 from ledgerwright.session import new_path
 
@@ -103,3 +103,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_language_id"] = op8_language_id
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
