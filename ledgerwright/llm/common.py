@@ -97,15 +97,18 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 BROADCAST_KEYS = 2_000_000
 
 
-def keep_keys(wide: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """The rows of `wide` whose column `name` (null included) is in the one-column table `keys`.
+def keep_keys(wide: DataFrame, keys: DataFrame, *names: str, how: str = "left_semi") -> DataFrame:
+    """The rows of `wide` whose columns `names` (nulls included) are in `keys`, or with left_anti are not.
 
     The keys are written and counted first. While they are few enough for every executor
     to hold, wide rows are filtered where they are read; beyond that both sides are shuffled.
     """
-    keys = stored(keys.select(F.col(name).alias("wanted_key")), "keys")
+    keys = stored(keys.select(*[F.col(n).alias(f"key_{i}") for i, n in enumerate(names)]), "keys")
     few = keys.count() <= BROADCAST_KEYS
-    return wide.join(F.broadcast(keys) if few else keys, F.col(name).eqNullSafe(F.col("wanted_key")), "left_semi")
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(n).eqNullSafe(F.col(f"key_{i}"))
+    return wide.join(F.broadcast(keys) if few else keys, same, how)
 
 
 def map_columns(df: DataFrame, make, schema: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import WORD, stored
+from ledgerwright.llm.common import WORD, keep_keys, stored
 from ledgerwright.operators.ordered import running_totals
 
 WEIGHTS = (3, 1, 2)
@@ -137,6 +137,34 @@ def in_training_order(mixed: DataFrame, partitions: int | None = None) -> DataFr
     return dealt.sortWithinPartitions(*order)
 
 
+def training_documents(docs: DataFrame, **options) -> DataFrame:
+    """`docs` as often as the mix takes each row, range-sorted by training position; all columns as they are.
+
+    A pass that takes less than half of a document leaves it out, so that each source's
+    words differ from its target by half a document. Documents without words are left out.
+    Positions are computed on ids and sizes alone; texts are shuffled to meet them and to be
+    sorted, no more. Rows that repeat both doc_id and text share their visits.
+    """
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    mixed = mix(marked, keep=["__mark"], **options)
+    half = F.filter("visits", lambda v: 2 * v["taken"] >= F.col("size"))
+    visits = stored(
+        mixed.where("size > 0").groupBy("doc_id", "__mark").agg(F.flatten(F.collect_list(half)).alias("visits")).where(F.size("visits") > 0)
+        .select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key"), "visits"),
+        "visits",
+    )
+    # Rows that repeat a key carry the visits of all of them: one of them is enough.
+    repeated = stored(marked.groupBy("doc_id", "__mark").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    if not repeated.isEmpty():
+        single = keep_keys(marked, repeated, "doc_id", "__mark").groupBy("doc_id", "__mark").agg(F.first(F.struct(*docs.columns)).alias("r"))
+        marked = keep_keys(marked, repeated, "doc_id", "__mark", how="left_anti").unionByName(single.select("r.*", "__mark"))
+    rows = marked.join(visits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__key"))).select(
+        *docs.columns, F.explode("visits").alias("__v")
+    )
+    order = [F.col("__v.position"), F.col("__v.pass"), F.col("doc_id")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+
+
 def mix_report(mixed: DataFrame) -> DataFrame:
     """Digest of `mix`: the columns of the contract and the first position of each document."""
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

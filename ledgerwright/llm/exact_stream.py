@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import SPACE, stored
+from ledgerwright.llm.common import SPACE, keep_keys, stored
 from ledgerwright.session import new_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -23,8 +23,6 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 #: Many small stores must not each set aside megabytes of disk.
 RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
-#: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -124,12 +122,9 @@ def deduplicate(docs: DataFrame, stream: DataFrame, checkpoint: str | None = Non
     spark = docs.sparkSession
     state = stored(run_stream(stream, checkpoint or new_path(spark, "dedup-state")), "dedup-groups")
     rows = stored(described(docs, digest_of).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
-    hits = stored(state.where("rows > 1").select(F.xxhash64("digest").alias("key")), "dedup-hits")
-    few = hits.count() <= BROADCAST_KEYS
+    hits = state.where("rows > 1").select(F.xxhash64("digest").alias("key"))
     # Rows of other contents fall out before the shuffle; the few that share a key by chance do no harm.
-    texts = described_texts(docs, digest_of).withColumn("key", F.xxhash64("digest")).join(
-        F.broadcast(hits) if few else hits, "key", "left_semi"
-    )
+    texts = keep_keys(described_texts(docs, digest_of).withColumn("key", F.xxhash64("digest")), hits, "key")
     contents = texts.groupBy("digest", "norm").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("contents"))
     collided = stored(contents.where("contents > 1").select("digest"), "dedup-collided")
     result = _labelled(rows, state, ["digest"])
@@ -146,6 +141,33 @@ def deduplicate(docs: DataFrame, stream: DataFrame, checkpoint: str | None = Non
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """`docs` without the rows whose text another row keeps; all columns as they are.
+
+    The digests of the rows are written and taken in by the stream in their turn, so `docs`
+    may come from anywhere.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "dedup-arrivals")
+    described(docs).write.parquet(path)
+    arrivals = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    verdicts = deduplicate(docs, arrivals).groupBy("doc_id", "text_sha256").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n")
+    )
+    verdicts = stored(verdicts.where("NOT kept OR n > 1"), "dedup-verdicts")
+    marked = docs.withColumn("__digest", digest(normalised(F.col("text"))))
+    keys = verdicts.select("doc_id", F.col("text_sha256").alias("__digest"), "kept")
+    left = keep_keys(marked, keys, "doc_id", "__digest", how="left_anti")
+    again = keys.where("kept")
+    if not again.isEmpty():
+        # Rows that repeat their doc_id with the text that stays: one of them, the longest.
+        repeated = keep_keys(marked, again, "doc_id", "__digest")
+        longest = F.struct(F.length("text").alias("n"), F.col("text"))
+        one = repeated.groupBy("doc_id", "__digest").agg(F.max_by(F.struct(*docs.columns), longest).alias("r"))
+        left = left.unionByName(one.select("r.*", "__digest"))
+    return left.select(*docs.columns)
+
+
 def described_texts(docs: DataFrame, digest_of=digest) -> DataFrame:
     """`described` with the normalised text itself."""
     norm = normalised(F.col("text"))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import mix, shingle_hashes, stored, word_hashes
+from ledgerwright.llm.common import keep_keys, map_columns, mix, shingle_hashes, stored, word_hashes
 from ledgerwright.llm.components import contract
 
 ROWS = 8  # min-hashes in a band
@@ -32,8 +32,6 @@ MISS = 1e-6  # chance to miss a pair at the threshold, in banding and again in p
 BATCH, BATCHES = 32, 8  # signature values per comparison, and comparisons
 STAR_ROUNDS = 3
 SEED = 7_919
-#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -81,32 +79,30 @@ def min_hashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
 def _describe(docs: DataFrame, size: int, bands: int, rows: int, kept: int) -> DataFrame:
     """doc_id, n_shingles, set_key, bands and signature of each row."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
         rng = np.random.default_rng(SEED)
         total = bands * rows + kept
         a = rng.integers(0, 2**31, total, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         b = rng.integers(0, 2**32, total, dtype=np.uint32)
         number = np.arange(bands, dtype=np.uint64)
-        for frame in frames:
-            out = []
-            for text in frame["text"]:
+        for columns in batches:
+            out: dict[str, list] = {"n_shingles": [], "set_key": [], "bands": [], "signature": []}
+            for text in columns["text"]:
                 shingles = shingle_hashes(word_hashes(text), size)
-                if not len(shingles):
-                    out.append((0, None, None, None))
-                    continue
-                low = min_hashes(shingles, a, b)
-                key = mix(number + np.uint64(1))
-                for column in low[:bands * rows].reshape(bands, rows).T:
-                    key = mix(key + column)
-                out.append((
-                    len(shingles), hashlib.md5(shingles.tobytes()).hexdigest(), key.view(np.int64), low[bands * rows:].astype(np.uint8).tobytes(),
-                ))
-            made = pd.DataFrame(out, columns=["n_shingles", "set_key", "bands", "signature"])
-            made.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy())
-            yield made
-
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, signature binary"
+                made = (0, None, None, None)
+                if len(shingles):
+                    low = min_hashes(shingles, a, b)
+                    key = mix(number + np.uint64(1))
+                    for column in low[:bands * rows].reshape(bands, rows).T:
+                        key = mix(key + column)
+                    signature = low[bands * rows:].astype(np.uint8).tobytes()
+                    made = (len(shingles), hashlib.md5(shingles.tobytes()).hexdigest(), key.view(np.int64), signature)
+                for name, value in zip(out, made):
+                    out[name].append(value)
+            yield {"doc_id": columns["doc_id"], **out}
+
+    return map_columns(
+        docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, signature binary"
     )
 
 
@@ -120,11 +116,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 "set_key": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "shingles": [s.tobytes() for s in sets],
             })
 
-    ids = wanted.select(F.col("doc_id").alias("wanted_id"))
-    few = wanted.count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", "text").join(
-        F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi"
-    )
+    rows = keep_keys(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
     sets = rows.select("text").mapInPandas(run, "set_key string, shingles binary")
     # Rows that share an id, or a set, may bring a set twice.
     return wanted.select("node", "set_key").join(sets, "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
@@ -241,3 +233,12 @@ def near_duplicates(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """`docs` without the rows that near-copies connect to a smaller doc_id; all columns as they are.
+
+    Rows that share a doc_id stay if one of them does, and so do rows without one.
+    """
+    verdicts = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return keep_keys(docs, verdicts.where("NOT kept"), "doc_id", how="left_anti").select(*docs.columns)
