@@ -8,9 +8,10 @@
 3. What is left is verified exactly on the full shingle sets.
 
 Copies count once. In a bucket not all pairs are tried: each round compares every set with
-its bucket's leader, and buckets whose sets are all connected are done. After the star
-rounds the pairs between sets of one bucket that are still apart are all compared, so no
-link between groups is lost to the shortcut.
+its bucket's leader, and buckets whose sets are all connected are done. After these rounds
+the sets of one bucket that are still apart are compared with all others, so no link between
+groups is lost to the shortcut: in small buckets as pairs, in large ones a block of sets at
+a time inside a task, which gives out links alone.
 """
 
 from __future__ import annotations
@@ -20,17 +21,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm.common import keep_keys, map_columns, mix, shingle_hashes, stored, word_hashes
-from ledgerwright.llm.components import contract
+from ledgerwright.llm.components import merge
 
 ROWS = 8  # min-hashes in a band
 MISS = 1e-6  # chance to miss a pair at the threshold, in banding and again in pruning
 BATCH, BATCHES = 32, 8  # signature values per comparison, and comparisons
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+SMALL = 64  # sets of a bucket whose pairs are rows of their own; larger buckets are cut into blocks
+BLOCK = 2_048  # sets in a block
 SEED = 7_919
 
 
@@ -109,15 +112,13 @@ def _describe(docs: DataFrame, size: int, bands: int, rows: int, kept: int) -> D
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """node and its shingle hashes, for the nodes of `wanted` (node, set_key, doc_id)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_hashes(word_hashes(t), size) for t in frame["text"]]
-            yield pd.DataFrame({
-                "set_key": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "shingles": [s.tobytes() for s in sets],
-            })
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
+        for columns in batches:
+            sets = [shingle_hashes(word_hashes(t), size).tobytes() for t in columns["text"]]
+            yield {"set_key": [hashlib.md5(s).hexdigest() for s in sets], "shingles": sets}
 
     rows = keep_keys(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
-    sets = rows.select("text").mapInPandas(run, "set_key string, shingles binary")
+    sets = map_columns(rows.select("text"), make, "set_key string, shingles binary")
     # Rows that share an id, or a set, may bring a set twice.
     return wanted.select("node", "set_key").join(sets, "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -125,35 +126,81 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            good = []
-            for x, y in zip(frame["sa"], frame["sb"]):
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
+        for columns in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for a, b, x, y in zip(*(columns[c] for c in ("a", "b", "sa", "sb"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield frame.loc[good, ["a", "b"]]
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            yield out
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
+    return map_columns(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), make, "a bigint, b bigint")
 
 
 def _plausible(pairs: DataFrame, signatures: DataFrame, need: list[int]) -> DataFrame:
     """The pairs that sequential comparison keeps, with their matches."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                a = np.frombuffer(b"".join(frame["ga"]), np.uint8).reshape(len(frame), -1)
-                b = np.frombuffer(b"".join(frame["gb"]), np.uint8).reshape(len(frame), -1)
-                alive, matches = surviving(a, b, need)
-                yield frame.iloc[alive][["a", "b"]].assign(matches=matches)
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
+        for columns in batches:
+            if columns["a"]:
+                ga, gb = (np.frombuffer(b"".join(columns[c]), np.uint8).reshape(len(columns["a"]), -1) for c in ("ga", "gb"))
+                alive, matches = surviving(ga, gb, need)
+                yield {"a": np.array(columns["a"])[alive], "b": np.array(columns["b"])[alive], "matches": matches}
 
     left = signatures.select(F.col("node").alias("a"), F.col("signature").alias("ga"))
     right = signatures.select(F.col("node").alias("b"), F.col("signature").alias("gb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
-    return joined.mapInPandas(run, "a bigint, b bigint, matches bigint")
+    return map_columns(joined, make, "a bigint, b bigint, matches bigint")
+
+
+def _linked_inside(group: pa.Table, need: list[int], percent: int) -> pa.Table:
+    """Links between sets of different roots in one block of a bucket.
+
+    A pair is looked at in the first of the bands that it shares, and no more once links
+    found here connect its roots.
+    """
+    node, label, own = (np.array(group.column(c)) for c in ("node", "root", "own"))
+    i_block, j_block, band = (group.column(c)[0].as_py() for c in ("i", "j", "band"))
+    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+    keys = np.array(group.column("bands").to_pylist(), np.int64)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    found = []
+    for k in range(len(node)):
+        others = label != label[k]
+        others[:k + 1] = False
+        if i_block != j_block:
+            others &= own != own[k]
+        others &= 100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])
+        rest = np.flatnonzero(others)
+        rest = rest[(keys[rest] == keys[k]).argmax(axis=1) == band]
+        alive, matches = surviving(np.broadcast_to(signature[k], (len(rest), signature.shape[1])), signature[rest], need)
+        for m in rest[alive[np.argsort(-matches, kind="stable")]]:
+            if label[m] != label[k]:
+                both = len(np.intersect1d(sets[k], sets[m], assume_unique=True))
+                if 100 * both >= percent * (sizes[k] + sizes[m] - both):
+                    found.append((node[k], node[m]))
+                    label = np.where(label == label[m], label[k], label)
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _links_of_large(rows: DataFrame, bodies: DataFrame, need: list[int], percent: int) -> DataFrame:
+    """Links in buckets of many sets; `rows` has key, band, node, root and the bucket's size n."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    # A row goes to the blocks of its part with every part, its own included.
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(
+        F.least(p, F.col("own")).alias("i"), F.greatest(p, F.col("own")).alias("j")
+    ))
+    placed = rows.withColumn("parts", parts).withColumn("own", own).select("key", "band", "node", "root", "own", F.inline(blocks))
+    return placed.join(bodies, "node").groupBy("key", "i", "j").applyInArrow(
+        lambda group: _linked_inside(group, need, percent), "a bigint, b bigint"
+    )
 
 
 def near_duplicates(
@@ -186,46 +233,39 @@ def near_duplicates(
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stored(entries.join(shared, "key"), "buckets")
     hot = stored(buckets.select("node").distinct(), "hot-nodes")
-    wanted = stored(nodes.select("node", "set_key", "doc_id", "signature").join(hot, "node"), "candidates")
+    wanted = stored(nodes.join(hot, "node"), "candidates")
     sets = stored(_shingle_sets(docs, wanted.select("node", "set_key", "doc_id"), size), "sets")
     signatures = wanted.select("node", "signature")
 
-    links = None
-    roots = hot.withColumn("root", F.col("node"))
-    for turn in range(star_rounds + 1):
+    def still_open(roots: DataFrame) -> DataFrame:
+        """Rows of the buckets whose sets are not all connected."""
         placed = buckets.join(roots, "node")
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        open_rows = stored(placed.join(apart, "key"), "open-buckets")
-        if open_rows.isEmpty():
-            break
-        if turn < star_rounds:
-            rank = F.xxhash64(F.col("node"), F.lit(turn))
-            leaders = open_rows.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("node").alias("b"), F.col("root").alias("r"))).alias("l"))
-            pairs = open_rows.join(leaders.select("key", "l.b", F.col("l.r").alias("other")), "key").where("root <> other").select(
-                F.col("node").alias("a"), "b"
-            ).distinct()
-            kept = _plausible(pairs, signatures, need)
-            # The likeliest of a set's leaders is verified now; the others wait for the next round.
-            chosen = kept.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-        else:
-            largest = open_rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
-                F.max(F.struct("n", "root")).alias("m")
-            ).select("key", F.col("m.root").alias("main"))
-            outside = open_rows.join(largest, "key").where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-            pairs = outside.join(open_rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb").select(
-                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-            ).distinct()
-            chosen = _plausible(pairs, signatures, need)
-        found = stored(_verified(chosen, sets, percent), "links")
-        links = found if links is None else stored(links.unionAll(found), "links")
-        grown = contract(links)
-        roots = stored(
-            hot.join(grown, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots"
-        )
+        return stored(placed.join(apart, "key"), "open-buckets")
+
+    roots = hot.withColumn("root", F.col("node"))
+    rows_open = still_open(roots)
+    for turn in range(star_rounds):
+        rank = F.xxhash64(F.col("node"), F.lit(turn))
+        leaders = rows_open.groupBy("key").agg(F.min(F.struct(rank.alias("h"), F.col("node").alias("b"), F.col("root").alias("r"))).alias("l"))
+        pairs = rows_open.join(leaders.select("key", "l.b", F.col("l.r").alias("other")), "key").where("root <> other").select(
+            F.col("node").alias("a"), "b"
+        ).distinct()
+        # The likeliest of a set's leaders is verified now; the others wait for the next round.
+        chosen = _plausible(pairs, signatures, need).groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
+        roots = merge(roots, stored(_verified(stored(chosen, "chosen"), sets, percent), "links"))
+        rows_open = still_open(roots)
+    few = rows_open.where(F.col("n") <= SMALL)
+    ends = [few.select("key", F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+    pairs = ends[0].join(ends[1], "key").where("ra <> rb AND a < b").select("a", "b").distinct()
+    links = _verified(stored(_plausible(pairs, signatures, need), "chosen"), sets, percent)
+    bodies = wanted.select("node", "signature", "bands").join(sets, "node")
+    links = links.unionAll(_links_of_large(rows_open.where(F.col("n") > SMALL), bodies, need, percent))
+    roots = merge(roots, stored(links, "links"))
     labelled = nodes.select("node", "set_key", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = stored(labelled.join(least, "root").select("set_key", "component_id"), "classes")
