@@ -16,11 +16,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import mix, shingle_hashes, word_hashes
+from ledgerwright.llm.common import map_columns, mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
 BINS = 1024  # a power of two
@@ -97,13 +96,11 @@ def as_text(print_: bytes) -> str:
 def fingerprint_documents(docs: DataFrame, size: int = SHINGLE, bins: int = BINS, bits: int = BITS) -> DataFrame:
     """doc_id and fingerprint (binary) of each row of `docs`; null text counts as empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "fingerprint": [fingerprint(t, size, bins, bits) for t in frame["text"]],
-            })
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
+        for columns in batches:
+            yield {"doc_id": columns["doc_id"], "fingerprint": [fingerprint(t, size, bins, bits) for t in columns["text"]]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, fingerprint binary")
+    return map_columns(docs.select("doc_id", "text"), make, "doc_id bigint, fingerprint binary")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -168,11 +165,13 @@ def edit_report(docs: DataFrame, partitions: int | None = None, size: int = SHIN
     empty table gives an empty result. Further columns are not read.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in REPORT.split(", ")]
+
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
         waiting = None  # the last row that has not met its successor: bucket, id, text, fingerprint
-        for frame in frames:
-            out = []
-            for bucket, doc_id, text, guest in zip(frame["bucket"], frame["doc_id"], frame["text"], frame["guest"]):
+        for columns in batches:
+            out: list[tuple] = []
+            for bucket, doc_id, text, guest in zip(*(columns[c] for c in ("bucket", "doc_id", "text", "guest"))):
                 own = fingerprint(text, size, bins, bits)
                 if waiting is not None and waiting[0] == bucket:
                     _, last_id, last_text, last = waiting
@@ -182,7 +181,7 @@ def edit_report(docs: DataFrame, partitions: int | None = None, size: int = SHIN
                         last_id, len(last_text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
                         as_text(last), as_text(edited), likeness(last, edited, bins, bits), likeness(last, own, bins, bits),
                     ))
-                waiting = None if guest else (bucket, None if pd.isna(doc_id) else int(doc_id), text, own)
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")]).astype({"doc_id": "Int64"})
+                waiting = None if guest else (bucket, doc_id, text, own)
+            yield dict(zip(names, map(list, zip(*out)))) if out else {n: [] for n in names}
 
-    return in_sequence(docs, partitions).select("bucket", "doc_id", "text", "guest").mapInPandas(run, REPORT)
+    return map_columns(in_sequence(docs, partitions).select("bucket", "doc_id", "text", "guest"), make, REPORT)

@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import gru
-from ledgerwright.llm.common import keep_keys, remainder
+from ledgerwright.llm.common import keep_keys, map_columns, remainder
 
 HIDDEN = 8
 WINDOW = 256  # bytes scored together
@@ -165,20 +164,19 @@ def identify(docs: DataFrame, languages: list[str], model: dict, modulus: int =
     columns are not read; an empty table gives an empty result.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            open_ = np.flatnonzero(frame["lettered"].to_numpy(bool)) if languages else np.empty(0, np.int64)
-            predicted, score = np.full(len(frame), "und", object), np.zeros(len(frame))
-            if len(open_):
-                pooled = score_texts(model, frame["text"].iloc[open_].tolist())
-                best = pooled.argmax(axis=1)
-                predicted[open_] = np.array(languages, object)[best]
-                score[open_] = np.clip(pooled[np.arange(len(best)), best], 0.0, 1.0)
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"], "lang_pred": predicted, "score": score,
-            })
-
-    return docs.select(
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
+        for columns in batches:
+            lettered = [i for i, yes in enumerate(columns["lettered"]) if yes] if languages else []
+            predicted, score = ["und"] * len(columns["text"]), np.zeros(len(columns["text"]))
+            if lettered:
+                pooled = score_texts(model, [columns["text"][i] for i in lettered])
+                for i, k in zip(lettered, pooled.argmax(axis=1)):
+                    predicted[i] = languages[k]
+                score[lettered] = np.clip(pooled.max(axis=1), 0.0, 1.0)
+            yield columns | {"lang_pred": predicted, "score": score}
+
+    rows = docs.select(
         "doc_id", "text", F.coalesce(remainder(F.col("doc_id"), modulus) == held, F.lit(False)).alias("held_out"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
-    ).mapInPandas(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    )
+    return map_columns(rows, make, "doc_id bigint, held_out boolean, lang_pred string, score double")

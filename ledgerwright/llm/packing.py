@@ -19,10 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ledgerwright.llm.common import map_columns
 from ledgerwright.llm.tokens import encoder
 
 GROUP_TOKENS = 4_000_000  # a group's ids take 16 MB
@@ -81,7 +81,7 @@ def pack_group(sizes: np.ndarray, loss: np.ndarray, limits: Limits, cut: bool) -
             sequence.append((int(i), int(start[i]), int(demand[i, 0])))
             room -= need[k]
             waiting[i] = False
-            need[k] = np.inf
+            need[k] = 1e18
             if room[0] <= 0 or room[1] <= 0:
                 break
         if cut and room[0] >= 1 and room[1] >= 1 and waiting.any():
@@ -147,18 +147,18 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
     gapless from 0.
     """
     schema = SCHEMA + (", ids array<int>" if ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
         encode = encoder(ranks_path)
         base = TaskContext.get().partitionId() << 36
         made, keys, rows = 0, [], []
 
-        def flush() -> pd.DataFrame:
+        def packed() -> dict:
             nonlocal made, keys, rows
             sizes = np.array([len(r) for r in rows], np.int64)
-            packed = pack_group(sizes, sizes - 1, limits, cut=True)
             out = []
-            for sequence in packed:
+            for sequence in pack_group(sizes, sizes - 1, limits, cut=True):
                 offset = 0
                 for i, start, n in sequence:
                     piece = rows[i][start:start + n]
@@ -167,23 +167,22 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
                     offset += n
                 made += 1
             keys, rows = [], []
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            return frame.astype({"doc_id": "Int64"})
+            return dict(zip(names, map(list, zip(*out))))
 
         tokens = 0
-        for frame in frames:
-            for key, text in zip(frame["doc_id"], frame["text"]):
+        for columns in batches:
+            for key, text in zip(columns["doc_id"], columns["text"]):
                 got = np.append(encode.ids(text), np.uint32(end_id)).astype("<u4")
                 if rows and (tokens + len(got) > GROUP_TOKENS or len(rows) >= GROUP_EXAMPLES):
-                    yield flush()
+                    yield packed()
                     tokens = 0
-                keys.append(None if pd.isna(key) else int(key))
+                keys.append(key)
                 rows.append(got)
                 tokens += len(got)
         if rows:
-            yield flush()
+            yield packed()
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_columns(docs.select("doc_id", "text"), make, schema)
 
 
 def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:
@@ -194,23 +193,23 @@ def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:
     beyond a limit ends the job with an error, as no sequence can hold it.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[dict]) -> Iterator[dict]:
         base, made = TaskContext.get().partitionId() << 36, 0
-        for frame in frames:
-            for at in range(0, len(frame), GROUP_EXAMPLES):
-                part = frame.iloc[at:at + GROUP_EXAMPLES]
-                sizes = part["tokens"].fillna(0).to_numpy(np.int64)
-                loss = np.minimum(part["loss_tokens"].fillna(0).to_numpy(np.int64), sizes)
-                out = []
+        for columns in batches:
+            for at in range(0, len(columns["tokens"]), GROUP_EXAMPLES):
+                names, *counts = (columns[c][at:at + GROUP_EXAMPLES] for c in ("example_id", "tokens", "loss_tokens"))
+                sizes, loss = (np.array([n or 0 for n in c], np.int64) for c in counts)
+                sequences = pack_group(sizes, np.minimum(loss, sizes), limits, cut=False)
                 empty = np.flatnonzero(sizes == 0)
-                packed = pack_group(sizes, loss, limits, cut=False)
-                packed += [[(int(i), 0, 0) for i in empty[k:k + limits.segments]] for k in range(0, len(empty), limits.segments)]
-                for sequence in packed:
+                sequences += [[(i, 0, 0) for i in empty[k:k + limits.segments]] for k in range(0, len(empty), limits.segments)]
+                out: dict[str, list] = {"example_id": [], "sequence_id": [], "offset": []}
+                for sequence in sequences:
                     offset = 0
                     for i, _, n in sequence:
-                        out.append((part["example_id"].iloc[i], base + made, offset))
+                        for column, value in zip(out.values(), (names[i], base + made, offset)):
+                            column.append(value)
                         offset += n
                     made += 1
-                yield pd.DataFrame(out, columns=["example_id", "sequence_id", "offset"])
+                yield out
 
-    return examples.select("example_id", "tokens", "loss_tokens").mapInPandas(run, "example_id bigint, sequence_id bigint, offset bigint")
+    return map_columns(examples.select("example_id", "tokens", "loss_tokens"), make, "example_id bigint, sequence_id bigint, offset bigint")

@@ -105,6 +105,6 @@ c AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY
 p AS (SELECT DISTINCT array_to_string(turns[1:n], ',') AS h FROM (SELECT turns, unnest(range(1, len(turns))) AS n FROM c)),
 k AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, len(any_value(turns)) AS n_turns FROM c
   WHERE array_to_string(turns, ',') NOT IN (SELECT h FROM p) GROUP BY array_to_string(turns, ','))
-SELECT conv_id, (rank // {part})::BIGINT AS part, n_turns, copies,
+SELECT r.conv_id, (rank // {part})::BIGINT AS part, n_turns, copies,
   string_agg('{START}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{END}' || chr(10), '' ORDER BY rank) AS text
-FROM r JOIN k USING (conv_id) GROUP BY conv_id, rank // {part}, n_turns, copies"""
+FROM r JOIN k ON r.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY r.conv_id, rank // {part}, n_turns, copies"""
