@@ -30,7 +30,8 @@ WINDOW, STRIDE = 32, 16  # words in a window, and between window starts
 SAMPLE = {1: 1_000, 0: 2_000}  # labelled documents learned from, by label
 TRAIN_WORDS = 1_200  # documents of more words are not learned from
 EPOCHS, BATCH, RATE = 7, 48, 0.02
-TOP, EXPLORE = {1: 2, 0: 5}, 3  # windows of a document learned from, by label; others tried at first
+MIN_STEPS = 320  # small samples are gone through more often
+TOP, EXPLORE = {1: 1, 0: 5}, 3  # windows of a document learned from, by label; others tried at first
 POSITIVE, DECAY = 2.0, 2e-3  # weight of toxic documents, and shrinking of the embeddings at each step
 KNOWN = 150_000  # words whose inputs a worker remembers
 AT_ONCE = 2_048  # windows in one run of the network
@@ -226,6 +227,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> dict:
         model["ob"][0] = 3.0 if labels.sum() else -3.0
         return model
     adam = gru.Adam(RATE)
+    epochs = max(epochs, -(-MIN_STEPS // -(-len(bags) // BATCH)))
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
@@ -240,13 +242,15 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> dict:
                 own = [j for j, (_, o) in enumerate(flat) if o == k]
                 ranked = sorted(own, key=lambda j: -logits[j])
                 # At first also windows that do not stand out yet: what marks them is to be found.
-                best = ranked[:TOP[int(labels[i])]] + [ranked[j] for j in rng.integers(len(ranked), size=EXPLORE if epoch < epochs - 3 else 0)]
+                best = ranked[:TOP[int(labels[i])]]
+                if epoch < epochs // 2:
+                    best = best + [ranked[j] for j in rng.integers(len(ranked), size=EXPLORE)]
                 chosen += [flat[j][0] for j in best]
                 owner += [(i, (POSITIVE if labels[i] else 1.0) / len(best))] * len(best)
             y = np.array([labels[i] for i, _ in owner])
             w = np.array([share for _, share in owner]) / BATCH
             _, grads = _learn_windows(model, vocabulary, chosen, y, w, rng)
-            adam.step(model, grads, 1.0 if epoch < epochs - 2 else 0.3)
+            adam.step(model, grads, 1.0 if epoch < 0.7 * epochs else 0.3)
             for name in ("word", "char"):
                 model[name] *= 1 - DECAY
     return model
