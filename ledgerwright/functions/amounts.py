@@ -7,15 +7,23 @@ from pyspark.sql import functions as F
 
 from ledgerwright import fixed
 from ledgerwright.functions.sqltext import apply, let
+from ledgerwright.functions.text import strip
 
-MONEY = "decimal(18,4)"
+#: 29 digits before the point and nine behind it.
+MONEY = "decimal(38,9)"
 
 
 def amount(text: Column) -> Column:
-    """Text as an exact amount; text that is no number becomes null."""
+    """Text as an exact amount; text that is no number, NaN or infinity becomes null."""
     return text.try_cast(MONEY)
 
 
+def finite(value: Column) -> Column:
+    """A number or its text as a double; null for text that is no number, NaN or infinity."""
+    x = value.try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def _lit(text: str) -> Column:
     return F.lit(text).cast(MONEY)
 
@@ -36,7 +44,7 @@ def agreement(left: Column, right: Column, field: str) -> Column:
     if field in fixed.AMOUNT_FIELDS:
         same = F.abs(amount(left) - amount(right)) <= _lit(fixed.AGREEMENT_TOLERANCE)
     else:
-        same = F.trim(left) == F.trim(right)
+        same = strip(left) == strip(right)
     return F.when(left.isNull() & right.isNull(), 1.0).when(same, 1.0).otherwise(0.3)
 
 
@@ -45,7 +53,7 @@ def values_match(left: Column, right: Column, field: str) -> Column:
     if field in fixed.AMOUNT_FIELDS:
         same = F.abs(amount(left) - amount(right)) <= _lit(fixed.AGREEMENT_TOLERANCE)
     else:
-        same = F.trim(left) == F.trim(right)
+        same = strip(left) == strip(right)
     return F.when(left.isNull() & right.isNull(), True).otherwise(F.coalesce(same, F.lit(False)))
 
 
@@ -59,10 +67,10 @@ def sum_check(rows: Column, member: str, header: Column) -> Column:
     numbers = F.transform(rows, lambda r: amount(cast(r)))
     bad = F.exists(numbers, lambda x: x.isNull())
     total = F.aggregate(
-        numbers, F.lit(0).cast("decimal(28,4)"), lambda acc, x: (acc + x).cast("decimal(28,4)")
+        numbers, F.lit(0).cast(MONEY), lambda acc, x: (acc + x).cast(MONEY)
     )
-    delta = (total - header).cast("decimal(28,4)")
-    zero = F.lit(0).cast("decimal(28,4)")
+    delta = (total - header).cast(MONEY)
+    zero = F.lit(0).cast(MONEY)
     vacuous = rows.isNull() | (F.size(rows) == 0) | header.isNull()
     return F.struct(
         F.when(vacuous, True).when(bad, False)
@@ -90,7 +98,8 @@ def round_exact(x: Column, digits: int) -> Column:
 
     Spark rounds the printed form of a double: 2.15, which is a little less than it looks,
     would go up. Here the fraction is taken as a whole number of 2^-60 and compared as a
-    whole number.
+    whole number. A value too large to have that many binary digits behind the point, NaN
+    and infinity pass as they are.
     """
     scale, unit = 10**digits, 1 << 60
     fraction = f"CAST(CAST((abs(x) - floor(abs(x))) * {unit}D AS BIGINT) AS DECIMAL(20,0))"
@@ -101,4 +110,5 @@ def round_exact(x: Column, digits: int) -> Column:
             OR (p.n % {unit} = {unit // 2} AND (p.w + p.n div {unit}) % 2 = 1), 1L, 0L) AS DOUBLE)
             / {scale}D * if(x < 0, -1D, 1D)""",
     )
-    return apply(body, x.cast("double"))
+    x = x.cast("double")
+    return F.when(F.abs(x) < 9e14, apply(body, F.when(F.abs(x) < 9e14, x))).otherwise(x)

@@ -100,8 +100,8 @@ def should_escalate(scores: Column, passed: Column, unseen_vendor: Column) -> Co
 # --- hashes ---------------------------------------------------------------
 
 def hash_to_long(text: Column) -> Column:
-    """16 hex digits as a signed 64-bit number; null for any other length."""
-    return F.when(F.length(text) == 16, F.conv(text, 16, -10).cast("bigint"))
+    """16 hex digits as a signed 64-bit number; null for any other text."""
+    return F.when(text.rlike("^[0-9a-fA-F]{16}$"), F.conv(text, 16, -10).cast("bigint"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -128,6 +128,14 @@ def duplicate_class(content_match: Column, distance: Column) -> Column:
 
 # --- model usage ----------------------------------------------------------
 
+def model_tier(model: Column) -> Column:
+    """The tier whose name a (dated) model name holds; other names as they are."""
+    tier = F.when(F.lit(False), model)
+    for name in fixed.TIER_PRICES:
+        tier = tier.when(F.lower(model).contains(name), name)
+    return tier.otherwise(model)
+
+
 def usage_cost(model: Column, usage: dict[str, Column]) -> Column:
     """USD of one call, priced by the tier name found in the model name; 0 if none is."""
     def rate(which: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
-from ledgerwright.functions.amounts import round_exact
+from ledgerwright.functions.amounts import MONEY, finite, round_exact
 from ledgerwright.functions.sqltext import apply
 from ledgerwright.functions.wording import explanation, headline, severity
 from ledgerwright.operators.fields import promote
@@ -79,7 +79,7 @@ def detect_anomalies(
 
     `rows` carries invoice_id, the vendor key, total, and the vendor's n, avg and std.
     """
-    z = outlier_z(F.col("total").try_cast("double"), F.col("n"), F.col("avg"), F.col("std"))
+    z = outlier_z(finite(F.col("total")), F.col("n"), F.col("avg"), F.col("std"))
     found = rows.withColumn("__z", z).where(F.col("__z").isNotNull())
     if acked is not None:
         found = drop_acked(found, acked, key)
@@ -123,11 +123,15 @@ def anomaly_id(invoice_id: Column) -> Column:
 
 
 def parse_anomaly_id(text: Column) -> Column:
-    """Struct (invoice_id, subtype, field, error); error is null for a well-formed id."""
+    """Struct (invoice_id, subtype, field, error); error is null for a well-formed id.
+
+    Ids without dashes or in capitals come out in the usual form.
+    """
     parts = F.split(text, ":", 3)
     quoted = F.concat(F.lit("'"), text, F.lit("'"))
     uuid = r"^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
     get = lambda i: F.get(parts, F.lit(i))
+    grouped = F.regexp_replace(F.replace(F.lower(get(0)), F.lit("-")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     error = (
         F.when(F.size(parts) != 3, F.concat(F.lit("malformed anomaly id: "), quoted))
         .when(~get(0).rlike(uuid), F.concat(F.lit("invalid invoice id in anomaly id: "), quoted))
@@ -137,7 +141,7 @@ def parse_anomaly_id(text: Column) -> Column:
         )
     )
     return F.struct(
-        get(0).alias("invoice_id"), get(1).alias("subtype"), get(2).alias("field"),
+        F.when(get(0).rlike(uuid), grouped).otherwise(get(0)).alias("invoice_id"), get(1).alias("subtype"), get(2).alias("field"),
         error.alias("error"),
     )
 
@@ -217,9 +221,10 @@ def anomaly_aggregates(anomalies: DataFrame) -> DataFrame:
     open_rows = anomalies.where(F.col("status") == "unreviewed")
     # Few currencies remain after the first step, each with its own best outlier.
     per_currency = open_rows.groupBy("currency").agg(
-        F.sum(F.col("value").cast("decimal(18,4)")).alias("amount"),
-        F.max(F.struct(F.col("z_score"), (-F.unix_micros("detected_at")).alias("t"), "id")).alias("top"),
-        F.max_by("vendor", F.struct("z_score", -F.unix_micros("detected_at"), "id")).alias("v"),
+        F.sum(F.col("value").cast(MONEY)).alias("amount"),
+        # Of equally strong outliers the newest.
+        F.max(F.struct("z_score", F.unix_micros("detected_at").alias("t"), "id")).alias("top"),
+        F.max_by("vendor", F.struct("z_score", F.unix_micros("detected_at"), "id")).alias("v"),
     )
     best = per_currency.agg(
         F.min_by(
@@ -285,7 +290,8 @@ def append_outliers(outliers: DataFrame, checked: DataFrame) -> DataFrame:
 
     Values within 1e-6 count as the same; the earliest is kept. Values sit in cells of
     1e-6, and only neighbouring cells can clash, so a value is compared with the earliest
-    row of its own and of the two adjoining cells.
+    row of its own and of the two adjoining cells. Cells are numbered by doubles: where
+    those lie further apart than a cell, so do the values.
     """
     new = checked.where(F.col("error").isNull()).select(
         "vendor_id", "field", F.coalesce("value", F.lit(0.0)).alias("value"),
@@ -293,7 +299,7 @@ def append_outliers(outliers: DataFrame, checked: DataFrame) -> DataFrame:
     )
     keys = ["vendor_id", "field", "cell"]
     both = outliers.select(*new.columns).unionByName(new).withColumn(
-        "cell", F.floor(F.col("value") / 1e-6).cast("bigint")
+        "cell", F.round(F.col("value") / 1e-6 - 0.5)
     )
     firsts = both.groupBy(*keys).agg(
         F.min(F.struct("acked_at", "invoice_id", "value")).alias("f")

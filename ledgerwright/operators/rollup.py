@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.functions.amounts import MONEY
 from ledgerwright.functions.scoring import min_confidence
 from ledgerwright.functions.text import strip
 from ledgerwright.operators.fields import field_value, promote
@@ -94,7 +95,7 @@ def vendor_rollup(base: DataFrame) -> DataFrame:
     sizes = rows.groupBy("name").agg(F.count("spent").alias("n"))
     half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
     older = F.col("before") < half
-    money = F.col("spent").cast("decimal(18,4)")
+    money = F.col("spent").cast(MONEY)
     return (
         counted.join(sizes, "name")
         .groupBy("name")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwright.operators.ordered import newest_n  # noqa: F401  (re-exported)
-
 
 def mark_newest_current(extractions: DataFrame) -> DataFrame:
     """Set is_current on the newest extraction of each invoice and clear it on the others."""
@@ -23,20 +21,18 @@ def mark_newest_current(extractions: DataFrame) -> DataFrame:
 
 
 def promote_current(extractions: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Make the chosen extractions (extraction_id) current and demote their siblings."""
-    picked = chosen.select("extraction_id").distinct().withColumn("__p", F.lit(True))
-    flagged = extractions.join(picked, "extraction_id", "left")
-    touched = (
-        flagged.where("__p").select("invoice_id").distinct().withColumn("__t", F.lit(True))
-    )
-    return (
-        flagged.join(touched, "invoice_id", "left")
-        .withColumn(
-            "is_current",
-            F.when(F.col("__t"), F.coalesce("__p", F.lit(False))).otherwise(F.col("is_current")),
-        )
-        .select(*extractions.columns)
+    """Make the chosen extractions (extraction_id) current and demote their siblings.
+
+    Of several chosen extractions of one invoice the last promotion holds, by the column
+    `promoted_at` of `chosen` where it has one, then by extraction_id.
+    """
+    when = F.col("promoted_at") if "promoted_at" in chosen.columns else F.lit(0)
+    picked = chosen.groupBy("extraction_id").agg(F.max(when).alias("__at"))
+    winner = extractions.select("extraction_id", "invoice_id").join(picked, "extraction_id").groupBy("invoice_id").agg(
+        F.max(F.struct("__at", "extraction_id"))["extraction_id"].alias("__winner")
     )
+    current = F.when(F.col("__winner").isNull(), F.col("is_current")).otherwise(F.col("extraction_id") == F.col("__winner"))
+    return extractions.join(winner, "invoice_id", "left").withColumn("is_current", current).select(*extractions.columns)
 
 
 def append_extractions(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -105,7 +101,15 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def page_after(df: DataFrame, key: str, last_seen: object, size: int) -> DataFrame:
-    """The page behind the last key seen, in descending key order."""
-    rows = df if last_seen is None else df.where(F.col(key) < F.lit(last_seen))
-    return rows.orderBy(F.desc(key)).limit(size)
+def page_after(df: DataFrame, key: str, id_col: str, last_seen: tuple | None, size: int) -> DataFrame:
+    """The page behind the (key, id) last seen: keys descending, nulls last, ids ascending."""
+    if last_seen is None:
+        rows = df
+    else:
+        value, last_id = last_seen
+        later = F.col(id_col) > F.lit(last_id)
+        if value is None:
+            rows = df.where(F.col(key).isNull() & later)
+        else:
+            rows = df.where((F.col(key) < F.lit(value)) | F.col(key).isNull() | ((F.col(key) == F.lit(value)) & later))
+    return rows.orderBy(F.desc_nulls_last(key), F.asc(id_col)).limit(size)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.functions.amounts import round_exact
-from ledgerwright.functions.scoring import usage_cost
+from ledgerwright.functions.scoring import model_tier, usage_cost
 from ledgerwright.operators.ordered import running_totals, time_buckets
 from ledgerwright.schema import USAGE
 
@@ -41,8 +41,11 @@ def usage_summary(log: DataFrame, limit_usd: float) -> DataFrame:
 
 
 def usage_by_model(tiers: DataFrame) -> DataFrame:
-    """Calls, tokens, cost and share of cost by model; `tiers` is one row per call."""
-    per_model = price_calls(tiers).groupBy("model").agg(
+    """Calls, tokens, cost and share of cost by tier; `tiers` is one row per call.
+
+    `model` is the tier of the model called; a model of no known tier stays by itself.
+    """
+    per_model = price_calls(tiers).groupBy(model_tier(F.col("model")).alias("model")).agg(
         F.count("*").alias("calls"),
         *[F.sum(t).alias(t) for t in TOKENS],
         F.sum(_cost()).alias("__cost"),

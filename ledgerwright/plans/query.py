@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.functions.amounts import MONEY
 from ledgerwright.functions.stemming import lexemes, matches_all
 from ledgerwright.operators.fields import promote
 
@@ -135,8 +137,37 @@ def _compare(col: Column, op: str, value: Any, make=F.lit) -> Column:
     return getattr(col, operator)(make(value))
 
 
-def _amount(value: Any) -> Column:
-    return F.lit(str(value)).cast("decimal(18,4)")
+def _number(value: Any) -> decimal.Decimal:
+    try:
+        number = decimal.Decimal(str(value))
+    except decimal.InvalidOperation as exc:
+        raise QueryError(f"not a number: {value!r}") from exc
+    _require(number.is_finite(), f"not a number: {value!r}")
+    return number
+
+
+def _amount_clause(col: Column, op: str, value: Any) -> Column:
+    """A comparison with a literal of any length.
+
+    Stored amounts have nine digits behind the point; a literal with more lies between two
+    of them, and one beyond the largest lies above all.
+    """
+    if op == "between":
+        return _amount_clause(col, "gte", value[0]) & _amount_clause(col, "lte", value[1])
+    number = _number(value)
+    with decimal.localcontext() as context:
+        context.prec, context.rounding = 400, decimal.ROUND_FLOOR
+        most = decimal.Decimal("1E29") - decimal.Decimal("1E-9")
+        low = min(max(number, -most), most).quantize(decimal.Decimal("1E-9"))
+    literal = F.lit(f"{low:f}").cast(MONEY)
+    if low == number:
+        return _compare(col, op, number, lambda _: literal)
+    above = low < number  # else the literal lies below every amount
+    return {
+        "eq": col.isNull() & F.lit(False), "neq": col.isNotNull(),
+        "lt": col <= literal if above else F.lit(False), "lte": col <= literal if above else F.lit(False),
+        "gt": col > literal if above else col.isNotNull(), "gte": col > literal if above else col.isNotNull(),
+    }[op]
 
 
 def _listed(value: Any) -> list[Any]:
@@ -163,7 +194,7 @@ def clause_column(clause: Clause) -> Column:
     if name == "vendor_name":
         return _vendor(op, value)
     if name in _AMOUNTS:
-        return _compare(F.col(_AMOUNTS[name]), op, value, _amount)
+        return _amount_clause(F.col(_AMOUNTS[name]), op, value)
     if name == "invoice_date":
         return _compare(F.col("period_start"), op, value, _date)
     if name == "has_anomaly":

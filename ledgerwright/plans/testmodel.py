@@ -7,7 +7,6 @@ so they are the same whatever the order rows are added in.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     one task, so its rows are spread by key; a table of many files is read as it is."""
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
-    if name in KEYS and os.path.isfile(path):
+    if name in KEYS and len(df.inputFiles()) == 1:
         return df.repartition(spark.sparkContext.defaultParallelism, KEYS[name])
     return df
 

@@ -98,7 +98,7 @@ SQL["anomaly_counts"] = f"""WITH {LIST} SELECT count(*) AS "all", count(*) FILTE
 QUERIES["anomaly_aggregates"] = lambda spark, d: anomaly_aggregates(_listing(spark, d))
 SQL["anomaly_aggregates"] = f"""WITH {LIST}, u AS (SELECT * FROM l WHERE NOT acked),
 c AS (SELECT cur, round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE), 2) AS s FROM u GROUP BY 1 ORDER BY s DESC, cur LIMIT 1),
-t AS (SELECT z, vendor_table_name FROM u ORDER BY z DESC, ts, invoice_id DESC LIMIT 1)
+t AS (SELECT z, vendor_table_name FROM u ORDER BY z DESC, ts DESC, invoice_id DESC LIMIT 1)
 SELECT (SELECT s FROM c) AS total_flagged_amount, (SELECT cur FROM c) AS total_flagged_currency,
   (SELECT count(DISTINCT vendor_table_name) FROM u) AS vendors_affected, (SELECT z FROM t) AS highest_severity_z,
   (SELECT vendor_table_name FROM t) AS highest_severity_vendor"""

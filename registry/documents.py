@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
+from ledgerwright.functions.amounts import MONEY
 from ledgerwright.functions.stemming import lexemes
 from ledgerwright.operators.extract import Extractor, nest_rows, read_markers
 from ledgerwright.operators.fields import raw_text
@@ -151,7 +152,7 @@ def _inputs(spark, d):
     )
     stored_invoices = invoices.where(k % 2 == 0).select(*[f.name for f in INVOICES.fields])
     confirmed = tm.order_rows(spark, d).where((k % 2 == 0) & (F.col("review_status") == "confirmed") & F.col("vendor_id").isNotNull())
-    stats = vendor_stats(confirmed.withColumn("total", F.col("total").try_cast("decimal(18,4)")))
+    stats = vendor_stats(confirmed.withColumn("total", F.col("total").try_cast(MONEY)))
     documents = invoices.where(k % 2 == 1).select(
         "invoice_id", "file_hash", "storage_key",
         F.when(k % 4 == 1, F.col("perceptual_hash")).alias("perceptual_hash"), "uploaded_at",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerwright.functions.amounts import MONEY
 from ledgerwright.operators.scan import (
     current_extractions, invoices_with_current, mark_newest_current, promote_current,
     vendor_of_invoice, vendor_view,
@@ -56,7 +57,7 @@ SQL["invoice_with_current"] = f"""WITH {ORD} SELECT invoice_id, review_status, 0
 def _vendor_rows(spark, d):
     """Vendors with statistics of their confirmed totals as they are stored."""
     rows = tm.order_rows(spark, d).where((F.col("review_status") == "confirmed") & F.col("vendor_id").isNotNull())
-    stats = vendor_stats(rows.withColumn("total", F.col("total").try_cast("decimal(18,4)")))
+    stats = vendor_stats(rows.withColumn("total", F.col("total").try_cast(MONEY)))
     nested = stats.select("vendor_id", F.struct("n", "avg", "std").alias("stats"))
     return tm.vendors(spark, d).join(nested, "vendor_id", "left").withColumn("first_seen_at", F.lit(None).cast("timestamp"))
 
@@ -86,7 +87,7 @@ SQL["vendor_of_invoice"] = f"""WITH {BASE}, {VSTATS} SELECT invoice_id, vendor_i
 
 def _point_in_time(spark, d):
     rows = tm.order_rows(spark, d).where(F.col("vendor_id").isNotNull()).select(
-        "invoice_id", "vendor_id", "ts", "review_status", F.col("total").try_cast("decimal(18,4)").alias("total")
+        "invoice_id", "vendor_id", "ts", "review_status", F.col("total").try_cast(MONEY).alias("total")
     )
     out = point_in_time_stats(rows, F.col("review_status") == "confirmed", ts="ts", units=("year", "day"))
     return out.select("invoice_id", "n", *_rounded("avg", "std"))

@@ -31,7 +31,7 @@ QUERIES["usage_by_model"] = lambda spark, d: usage_by_model(tm.usage_rows(spark,
     "model", "calls", "input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens",
     F.round("cost_usd", 6).alias("cost_usd"), F.round("share", 6).alias("share"),
 )
-SQL["usage_by_model"] = f"""WITH {COST} SELECT model, count(*) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
+SQL["usage_by_model"] = f"""WITH {COST} SELECT CASE WHEN model LIKE 'Haiku%' THEN 'haiku' WHEN model LIKE '%-4' THEN split_part(model, '-', 1) ELSE model END AS model, count(*) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
   CAST(sum(w) AS BIGINT) AS cache_creation_input_tokens, CAST(sum(r) AS BIGINT) AS cache_read_input_tokens,
   round(CAST(sum(cost) AS DOUBLE), 6) AS cost_usd, round(CAST(sum(cost) AS DOUBLE) / CAST(sum(sum(cost)) OVER () AS DOUBLE), 6) AS share FROM cost GROUP BY 1"""
 
@@ -61,5 +61,5 @@ SQL["tier_depth"] = """WITH n AS (SELECT conv_id, count(*) AS n FROM conversatio
 SELECT round(avg(n), 6) AS avg_depth, CAST(max(n) AS INTEGER) AS max_depth FROM n"""
 
 QUERIES["tier_tokens"] = lambda spark, d: usage_by_model(tiers_of(_traces(spark, d))).select("model", "calls", "input_tokens", "output_tokens")
-SQL["tier_tokens"] = """SELECT 'sonnet-' || role AS model, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS input_tokens,
+SQL["tier_tokens"] = """SELECT 'sonnet' AS model, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS input_tokens,
   CAST(sum(turn + 1) AS BIGINT) AS output_tokens FROM conversations GROUP BY 1"""

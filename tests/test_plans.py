@@ -85,8 +85,8 @@ def test_filters_on_stored_columns_reach_the_reader(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "t"))
     query = StructuredQuery.from_dict({"filters": [{"field": "total", "op": "gt", "value": 100}]})
     plan = filtered(spark.read.parquet(str(tmp_path / "t")), query).select("invoice_id")._jdf.queryExecution().toString()
-    assert "GreaterThan(total_amount,100.0000)" in plan
-    assert "ReadSchema: struct<invoice_id:string,total_amount:decimal(18,4)>" in plan
+    assert "GreaterThan(total_amount,100.000000000)" in plan
+    assert "ReadSchema: struct<invoice_id:string,total_amount:decimal(38,9)>" in plan
 
 
 def reading(inv, tier, conf=None, failed=False, **values):
