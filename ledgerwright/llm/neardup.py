@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from ledgerwright.llm.common import keep_keys, map_columns, mix, shingle_hashes, stored, word_hashes
 from ledgerwright.llm.components import merge
 
-ROWS = 8  # min-hashes in a band
+ROWS = 7  # min-hashes in a band
 MISS = 1e-6  # chance to miss a pair at the threshold, in banding and again in pruning
-BATCH, BATCHES = 32, 8  # signature values per comparison, and comparisons
+BATCH, BATCHES = 32, 6  # signature values per comparison, and comparisons
 STAR_ROUNDS = 2
-SMALL = 64  # sets of a bucket whose pairs are rows of their own; larger buckets are cut into blocks
+SMALL = 16  # sets of a bucket whose pairs are rows of their own; larger buckets are cut into blocks
 BLOCK = 2_048  # sets in a block
 SEED = 7_919
 
@@ -70,12 +70,17 @@ def surviving(a: np.ndarray, b: np.ndarray, need: list[int], batch: int = BATCH)
     return alive, matches[alive]
 
 
-def min_hashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest value of each of the hash functions a*x+b over the shingles."""
+def min_hashes(shingles: np.ndarray, factors: np.ndarray, buffer: np.ndarray) -> np.ndarray:
+    """Smallest value of each of the hash functions factor * x (odd factors, 32 bits) over the shingles.
+
+    `buffer` has a row for each factor; the shingles go through it a width at a time.
+    """
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(len(a), 2**32 - 1, np.uint32)
-    for at in range(0, len(x), 256):
-        np.minimum(low, (a[:, None] * x[None, at:at + 256] + b[:, None]).min(axis=1), out=low)
+    low = np.full(len(factors), 2**32 - 1, np.uint32)
+    for at in range(0, len(x), buffer.shape[1]):
+        part = x[None, at:at + buffer.shape[1]]
+        made = np.multiply(factors[:, None], part, out=buffer[:, :part.shape[1]])
+        np.minimum(low, made.min(axis=1), out=low)
     return low
 
 
@@ -85,8 +90,8 @@ def _describe(docs: DataFrame, size: int, bands: int, rows: int, kept: int) -> D
     def make(batches: Iterator[dict]) -> Iterator[dict]:
         rng = np.random.default_rng(SEED)
         total = bands * rows + kept
-        a = rng.integers(0, 2**31, total, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        b = rng.integers(0, 2**32, total, dtype=np.uint32)
+        factors = rng.integers(0, 2**31, total, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        buffer = np.empty((total, 256), np.uint32)
         number = np.arange(bands, dtype=np.uint64)
         for columns in batches:
             out: dict[str, list] = {"n_shingles": [], "set_key": [], "bands": [], "signature": []}
@@ -94,7 +99,7 @@ def _describe(docs: DataFrame, size: int, bands: int, rows: int, kept: int) -> D
                 shingles = shingle_hashes(word_hashes(text), size)
                 made = (0, None, None, None)
                 if len(shingles):
-                    low = min_hashes(shingles, a, b)
+                    low = min_hashes(shingles, factors, buffer)
                     key = mix(number + np.uint64(1))
                     for column in low[:bands * rows].reshape(bands, rows).T:
                         key = mix(key + column)
