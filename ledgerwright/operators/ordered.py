@@ -77,20 +77,26 @@ def running_totals(
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[str], payload: list[str], name: str
+    df: DataFrame, keys: list[str], buckets: list[Column], order: list[str], payload: list[str], name: str
 ) -> DataFrame:
     """`df` plus struct `name`: the payload of the key's row just before, null for its first
-    and for rows without a key."""
-    base = df.withColumns({
-        "__b": bucket, "__o": F.struct(*order), "__p": F.struct(*payload),
-    })
-    last = base.groupBy(*keys, "__b").agg(F.max_by("__p", "__o").alias("__l"))
-    over = Window.partitionBy(*keys).orderBy("__b")
-    earlier = last.withColumn("__e", F.lag("__l").over(over))
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    joined = base.join(earlier.drop("__l"), keys + ["__b"], "left")
+    and for rows without a key. `buckets` go from coarse to fine and must grow with `order`."""
+    marks = [f"__b{i}" for i in range(len(buckets))]
+    base = df.withColumns({m: b for m, b in zip(marks, buckets)} | {"__o": F.struct(*order), "__p": F.struct(*payload)})
+    last = base.groupBy(*keys, *marks).agg(F.max_by("__p", "__o").alias("__l"), F.max("__o").alias("__m"))
+    carried = None
+    for depth, mark in enumerate(marks):
+        part = keys + marks[:depth]
+        level = last.groupBy(*part, mark).agg(F.max_by("__l", "__m").alias("__l"))
+        level = level.select(*part, mark, F.lag("__l").over(Window.partitionBy(*part).orderBy(mark)).alias("__e"))
+        if carried is not None:
+            coarse = carried.withColumnRenamed("__e", "__c")
+            level = level.join(coarse, part).select(*part, mark, F.coalesce("__e", "__c").alias("__e"))
+        carried = level
+    inside = Window.partitionBy(*keys, *marks).orderBy(*order)
+    joined = base.join(carried, keys + marks, "left")
     found = F.coalesce(F.lag("__p").over(inside), F.col("__e"))
-    return joined.select(*df.columns, F.when(_known(keys + ["__b"]), found).alias(name))
+    return joined.select(*df.columns, F.when(_known(keys + marks), found).alias(name))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

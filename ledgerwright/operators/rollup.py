@@ -76,7 +76,7 @@ def vendor_rollup(base: DataFrame) -> DataFrame:
     """One row per trimmed extracted vendor name: spend, dates, open anomalies, trend.
 
     The older half of a vendor's positive totals, by date text, is found from counts per
-    date text, so a large vendor is never ordered in one task. Its invoices are a query of
+    date text and leading characters of the id, so a large vendor is never ordered in one task. Its invoices are a query of
     their own (`vendor_invoices`), not an array without bound.
     """
     open_state = F.col("state").isin(fixed.NEEDS_REVIEW, fixed.LIKELY_DUPLICATE)
@@ -89,7 +89,7 @@ def vendor_rollup(base: DataFrame) -> DataFrame:
         F.coalesce((F.col("review_status") == fixed.PENDING) & open_state, F.lit(False)).alias("flag"),
     ).where(F.col("name").isNotNull())
     counted = running_totals(
-        rows, ["name"], [F.col("date_text")], ["invoice_id"],
+        rows, ["name"], [F.col("date_text"), F.substring("invoice_id", 1, 4)], ["invoice_id"],
         {"before": F.when(F.col("spent").isNotNull(), F.lit(1).cast("bigint"))},
     )
     sizes = rows.groupBy("name").agg(F.count("spent").alias("n"))

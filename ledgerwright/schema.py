@@ -57,6 +57,15 @@ EXTRACTIONS = _struct(
     reasons=REASONS, line_items=T.ArrayType(LINE_ITEM), tax_rows=T.ArrayType(TAX_ROW),
     raw_text=T.StringType(), is_current=T.BooleanType(), created_at=T.TimestampType(),
 )
+#: What is stored besides, so that filters reach the file reader and no search stems texts.
+STORED_EXTRACTIONS = T.StructType([
+    *EXTRACTIONS.fields,
+    *[T.StructField(name, kind) for name, kind in {
+        "vendor_text": T.StringType(), "currency": T.StringType(), "total_amount": T.DecimalType(38, 9),
+        "subtotal_amount": T.DecimalType(38, 9), "tax_amount": T.DecimalType(38, 9), "period_start": T.DateType(),
+        "lexemes": T.ArrayType(T.StringType()),
+    }.items()],
+])
 VENDORS = _struct(
     vendor_id=T.StringType(), name=T.StringType(), tax_id=T.StringType(),
     normalized_name=T.StringType(), first_seen_at=T.TimestampType(), stats=STATS,

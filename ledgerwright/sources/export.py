@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerwright.operators.fields import field_value
+from ledgerwright.functions.stemming import lexemes
+from ledgerwright.operators.fields import field_value, promote
 from ledgerwright.operators.usage import price_calls
-from ledgerwright.schema import EXTRACTIONS
+from ledgerwright.schema import STORED_EXTRACTIONS
 
 EXPORT_COLUMNS = (
     "invoice_id", "vendor_name", "invoice_number", "invoice_date", "subtotal", "tax", "total",
@@ -40,7 +41,8 @@ def export_info(rows: DataFrame, query: dict, exported_at: str) -> DataFrame:
 
 def write_export(base: DataFrame, path: str, query: dict, exported_at: str, form: str = "csv") -> None:
     """Rows below path/rows and their description below path/query."""
-    rows = export_rows(base)
+    counted = Observation()
+    rows = export_rows(base).observe(counted, F.count(F.lit(1)).alias("row_count"))
     writer = rows.write.mode("overwrite")
     if form == "csv":
         writer.option("header", "true").option("escape", '"').csv(f"{path}/rows")
@@ -48,19 +50,31 @@ def write_export(base: DataFrame, path: str, query: dict, exported_at: str, form
         writer.option("ignoreNullFields", "false").json(f"{path}/rows")
     else:
         raise ValueError(f"unknown export form: {form!r}")
-    export_info(rows, query, exported_at).write.mode("overwrite").json(f"{path}/query")
+    about = [(exported_at, counted.get["row_count"], json.dumps(query, sort_keys=True))]
+    base.sparkSession.createDataFrame(about, "exported_at string, row_count bigint, query string").write.mode("overwrite").json(f"{path}/query")
 
 
-def append_usage(calls: DataFrame, path: str) -> None:
-    """Append priced calls to the usage log."""
-    price_calls(calls).write.mode("append").parquet(path)
+def append_usage(calls: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append priced calls to the usage log; a batch that is written again replaces itself."""
+    priced = price_calls(calls)
+    if batch is None:
+        priced.write.mode("append").parquet(path)
+    else:
+        priced.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_extractions(extractions: DataFrame, path: str) -> None:
-    """Extractions split by is_current, so that scans of current rows skip the others."""
-    extractions.write.mode("overwrite").partitionBy("is_current").parquet(path)
+    """Extractions split by is_current, so that scans of current rows skip the others.
+
+    Typed columns and lexemes are stored with them: filters on them reach the reader, and
+    texts are stemmed once, here.
+    """
+    rows = promote(extractions) if "fields" in extractions.columns else extractions
+    if "raw_text" in rows.columns and "lexemes" not in rows.columns:
+        rows = rows.withColumn("lexemes", lexemes(F.col("raw_text")))
+    rows.write.mode("overwrite").partitionBy("is_current").parquet(path)
 
 
-def read_extractions(spark: SparkSession, path: str, schema: StructType = EXTRACTIONS) -> DataFrame:
+def read_extractions(spark: SparkSession, path: str, schema: StructType = STORED_EXTRACTIONS) -> DataFrame:
     """Extractions written above; the declared type makes is_current a flag, not text."""
     return spark.read.schema(schema).parquet(path)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerwright.operators.rollup import inbox_tab
-from ledgerwright.operators.scan import newest_invoices, page
+from ledgerwright.operators.scan import base_relation, newest_invoices, page
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.plans.query import StructuredQuery, filtered, run_aggregate, run_query, with_shares
-from ledgerwright.sources.export import export_rows
+from ledgerwright.session import new_path
+from ledgerwright.sources.export import export_rows, read_extractions, write_extractions
 from registry.sqlmodel import BASE, ORD, RAW
 
 QUERIES: dict = {}
@@ -80,6 +81,26 @@ _filter("filter_fts_all_terms", [("raw_text", "fts_matches", "the blue rings")],
         r"regexp_matches(lower(raw_text), '\bblue\b') AND regexp_matches(lower(raw_text), '\brings?\b')", True)
 
 
+def _stored(key: str, filters: list, twin: str) -> None:
+    """A filter over extractions that were written and read back, as a deployment keeps them."""
+    query = _query(filters)
+
+    def run(spark, d):
+        path = new_path(spark, "extractions")
+        write_extractions(tm.extractions(spark, d, True), path)
+        base = base_relation(tm.invoices(spark, d), read_extractions(spark, path), tm.vendors(spark, d))
+        return filtered(base, query).select(
+            "invoice_id", "vendor_table_name", F.col("total_amount").cast("double").alias("total"), "state"
+        )
+
+    QUERIES[key] = run
+    SQL[key] = SQL[twin]
+
+
+_stored("stored_total_between", [("total", "between", [1000, 100000])], "filter_total_between")
+_stored("stored_fts_all_terms", [("raw_text", "fts_matches", "the blue rings")], "filter_fts_all_terms")
+
+
 def _sorted(key: str, query: StructuredQuery, order: str, limit: int) -> None:
     QUERIES[key] = lambda spark, d: run_query(tm.base(spark, d), query).select(
         "invoice_id", "vendor_table_name", F.col("total_amount").cast("double").alias("total")

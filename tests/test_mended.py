@@ -104,3 +104,44 @@ def test_costs_by_tier(spark):
 def test_values_agree_but_for_any_white_space(spark):
     row = spark.createDataFrame([("Acme\n", "\tAcme")], "a string, b string")
     assert row.select(agreement(F.col("a"), F.col("b"), "vendor_name")).first()[0] == 1.0
+
+
+def test_stored_columns_reach_the_reader(spark, tmp_path):
+    from conftest import SMALL
+    from ledgerwright.operators.scan import base_relation
+    from ledgerwright.plans import testmodel as tm
+    from ledgerwright.plans.query import StructuredQuery, filtered
+    from ledgerwright.sources.export import read_extractions, write_extractions
+
+    path = str(tmp_path / "ext")
+    write_extractions(tm.extractions(spark, SMALL, True), path)
+    stored = read_extractions(spark, path)
+    clauses = [{"field": "total", "op": "gt", "value": 5}, {"field": "raw_text", "op": "fts_matches", "value": "blue rings"}]
+    found = filtered(base_relation(tm.invoices(spark, SMALL), stored, tm.vendors(spark, SMALL)), StructuredQuery.from_dict({"filters": clauses}))
+    plan = found.select("invoice_id")._jdf.queryExecution().executedPlan().toString()
+    scan = next(part for part in plan.split("FileScan") if "lexemes" in part)
+    assert "GreaterThan(total_amount,5.000000000)" in plan
+    assert "Python" not in plan and "map<" not in scan.split("ReadSchema")[1].split("\n")[0]
+    wanted = filtered(tm.base(spark, SMALL, True), StructuredQuery.from_dict({"filters": clauses}))
+    assert {r.invoice_id for r in found.collect()} == {r.invoice_id for r in wanted.collect()}
+
+
+def test_a_usage_batch_replaces_itself(spark, tmp_path):
+    from ledgerwright.sources.export import append_usage
+
+    calls = spark.createDataFrame([("haiku", 1000, 0, None, 0)], "model string, input_tokens bigint, output_tokens bigint, cache_creation_input_tokens bigint, cache_read_input_tokens bigint")
+    for batch in ("1", "2", "2", "1"):
+        append_usage(calls, str(tmp_path / "usage"), batch)
+    assert spark.read.parquet(str(tmp_path / "usage")).count() == 2
+
+
+def test_previous_row_of_one_instant_in_one_content(spark):
+    from ledgerwright.operators.ordered import previous_row, time_buckets
+
+    rows = [("x" if i % 3 else "y", dt.datetime(2024, 1, 1, i // 200, 0, i % 2), f"{i * 7919 % 4096:04x}{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, id string")
+    buckets = [*time_buckets("ts", "hour", "second"), F.col("ts"), F.substring("id", 1, 2)]
+    got = {r.id: r.p.id if r.p else None for r in previous_row(df, ["k"], buckets, ["ts", "id"], ["id"], "p").collect()}
+    for key in "xy":
+        ordered = [i for _, i in sorted((t, i) for k, t, i in rows if k == key)]
+        assert [got[i] for i in ordered] == [None, *ordered[:-1]]

@@ -38,7 +38,7 @@ def test_previous_row(spark):
     rng = random.Random(2)
     rows = [(rng.choice("aab"), at(rng.randrange(500)), i) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, id int")
-    out = previous_row(df, ["k"], F.date_trunc("hour", "ts"), ["ts", "id"], ["id"], "p")
+    out = previous_row(df, ["k"], [*time_buckets("ts", "hour", "second"), F.col("ts")], ["ts", "id"], ["id"], "p")
     found = {r.id: r.p.id if r.p else None for r in out.collect()}
     for k, ts, i in rows:
         earlier = [(t2, i2) for k2, t2, i2 in rows if k2 == k and (t2, i2) < (ts, i)]
