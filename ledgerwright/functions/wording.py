@@ -30,7 +30,7 @@ def headline(value: Column, currency: Column) -> Column:
 
 
 def explanation(value: Column, mean: Column, currency: Column, priors: Column) -> Column:
-    """Why the amount stands out, against the mean of the vendor's prior invoices."""
+    """Why the amount stands out, against the mean of the vendor's prior invoices. The wording is fixed."""
     count = F.concat(
         priors.cast("string"), F.lit(" prior invoice"), F.when(priors == 1, "").otherwise("s")
     )

@@ -30,11 +30,6 @@ def header_columns(fields: str = "fields") -> dict[str, Column]:
     return {name: field_value(name, fields) for name in fixed.HEADER_FIELDS}
 
 
-def with_header(df: DataFrame, fields: str = "fields") -> DataFrame:
-    """One text column per header field."""
-    return df.withColumns(header_columns(fields))
-
-
 # Typed columns kept next to the map so that filters reach the Parquet reader.
 TYPED_COLUMNS = {
     "vendor_text": lambda: field_value("vendor_name"),

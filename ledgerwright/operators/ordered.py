@@ -99,20 +99,6 @@ def previous_row(
     return joined.select(*df.columns, F.when(_known(keys + marks), found).alias(name))
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is last in `order`, by an aggregate that combines map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r"))
-    return best.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is first in `order`."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
-    return best.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest]).select(*df.columns)
-
-
 def newest_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each key in `order`.
 

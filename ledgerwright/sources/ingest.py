@@ -131,8 +131,8 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seeded_sample(ids: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """n ids without replacement, the same ones for the same seed."""
-    key = F.xxhash64(F.col(id_col), F.lit(seed))
+    """n ids without replacement, the same ones for the same seed: the first by md5 of `id:seed`."""
+    key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
     return ids.orderBy(key, id_col).limit(n)
 
 

@@ -206,4 +206,4 @@ SQL["export_flat"] = f"""WITH {BASE} SELECT invoice_id, vendor_name, invoice_num
   '[' || concat_ws(',',
     CASE WHEN k % 10 = 0 THEN '{{"type":"duplicate_of","invoice_id":"' || printf('00000000-0000-0000-0000-%012x', greatest(k - 1, 0)) || '","similarity":1.0,"match_method":"perceptual_hash"}}' END,
     CASE WHEN has_anomaly THEN '{{"type":"anomaly","field":"total","vendor_mean":' || printf('%.1f', k % 1000 * 100.0) || ',"vendor_std":100.0,"z_score":' || printf('%.1f', (k % 60) / 10.0) || '}}' END) || ']' AS reasons
-FROM base WHERE k > 0 OR true"""
+FROM base"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The date layouts that are understood.
 DAY_FORMATS = (
     "%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%m-%d-%Y", "%m/%d/%y", "%m-%d-%y", "%d/%m/%Y",
     "%B %d, %Y", "%b %d, %Y", "%B %d %Y", "%b %d %Y", "%d-%b-%Y", "%d %b %Y", "%d-%B-%Y",
