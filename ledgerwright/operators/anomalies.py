@@ -193,16 +193,19 @@ def by_newest(anomalies: DataFrame) -> DataFrame:
     return anomalies.orderBy(F.desc("detected_at"), F.asc("id"))
 
 
-def anomaly_tab(anomalies: DataFrame, tab: str) -> DataFrame:
-    """Rows of one tab; an unknown tab is empty."""
+def tab_conditions() -> dict[str, Column]:
     unreviewed = F.col("status") == "unreviewed"
-    wanted = {
+    return {
         "all": F.lit(True),
         "unreviewed": unreviewed,
         "acknowledged": F.col("status") == "acknowledged",
         "amount": unreviewed & (F.col("type") == SUBTYPE),
     }
-    return anomalies.where(wanted.get(tab, F.lit(False)))
+
+
+def anomaly_tab(anomalies: DataFrame, tab: str) -> DataFrame:
+    """Rows of one tab; an unknown tab is empty."""
+    return anomalies.where(tab_conditions().get(tab, F.lit(False)))
 
 
 def anomaly_counts(anomalies: DataFrame) -> DataFrame:

@@ -19,13 +19,26 @@ def _pending(state: str) -> Column:
     return (F.col("state") == state) & (F.col("review_status") == fixed.PENDING)
 
 
+def _in_tab(tab: str) -> Column:
+    if tab in (fixed.CONFIRMED, fixed.UNPROCESSABLE):
+        return F.col("review_status") == tab
+    return _pending(tab) if tab in STATES else F.lit(True)
+
+
 def inbox_tab(base: DataFrame, tab: str) -> DataFrame:
     """Rows of one inbox tab; state tabs hold pending rows only, an unknown tab holds all."""
-    if tab in (fixed.CONFIRMED, fixed.UNPROCESSABLE):
-        return base.where(F.col("review_status") == tab)
-    if tab in STATES:
-        return base.where(_pending(tab))
-    return base
+    return base.where(_in_tab(tab))
+
+
+def with_tabs(rows: DataFrame, tabs: dict[str, Column]) -> DataFrame:
+    """Each row once for every tab whose condition it meets, with the tab's name; one pass over the rows."""
+    names = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in tabs.items()]))
+    return rows.withColumn("tab", F.explode(names))
+
+
+def inbox_tabs(base: DataFrame) -> DataFrame:
+    """All inbox tabs: base rows with `tab`."""
+    return with_tabs(base, {t: _in_tab(t) for t in ("all", *STATES, fixed.CONFIRMED, fixed.UNPROCESSABLE)})
 
 
 def inbox_counts(base: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerwright.operators.anomalies import (
-    acknowledge, anomaly_aggregates, anomaly_counts, anomaly_tab, append_outliers, by_newest,
-    check_requests, detect_anomalies, failed_requests, list_anomalies, parse_anomaly_id,
+    acknowledge, anomaly_aggregates, anomaly_counts, append_outliers, by_newest,
+    check_requests, detect_anomalies, failed_requests, list_anomalies, parse_anomaly_id, tab_conditions,
 )
+from ledgerwright.operators.rollup import with_tabs
 from ledgerwright.operators.vendors import point_in_time_stats, vendor_stats
 from ledgerwright.plans import testmodel as tm
 from registry.sqlmodel import BASE, EVENTS
@@ -105,12 +106,7 @@ SELECT (SELECT s FROM c) AS total_flagged_amount, (SELECT cur FROM c) AS total_f
 
 
 def _tabs(spark, d):
-    rows = _listing(spark, d)
-    out = None
-    for tab in ("all", "unreviewed", "acknowledged", "amount", "frequency"):
-        part = anomaly_tab(rows, tab).select(F.lit(tab).alias("tab"), "id")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("tab").agg(F.count("*").alias("n"))
+    return with_tabs(_listing(spark, d), tab_conditions()).groupBy("tab").agg(F.count("*").alias("n"))
 
 
 QUERIES["anomaly_tabs"] = _tabs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerwright.operators.rollup import inbox_tab
+from ledgerwright.operators.rollup import inbox_tab, inbox_tabs
 from ledgerwright.operators.scan import base_relation, newest_invoices, page
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.plans.query import StructuredQuery, filtered, run_aggregate, run_query, with_shares
@@ -184,17 +184,7 @@ SQL["newest_invoices"] = f"""WITH {ORD} SELECT invoice_id, sha256(invoice_id) AS
 FROM ord ORDER BY ts DESC, invoice_id LIMIT 200"""
 
 
-def _tabs(spark, d):
-    base = tm.base(spark, d)
-    tabs = ("all", "needs_review", "confident", "likely_duplicate", "confirmed", "unprocessable")
-    rows = [inbox_tab(base, t).select(F.lit(t).alias("tab"), "invoice_id") for t in tabs]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-QUERIES["inbox_tabs"] = _tabs
+QUERIES["inbox_tabs"] = lambda spark, d: inbox_tabs(tm.base(spark, d)).select("tab", "invoice_id")
 SQL["inbox_tabs"] = f"""WITH {BASE}
 SELECT 'all' AS tab, invoice_id FROM base
 UNION ALL SELECT review_status, invoice_id FROM base WHERE review_status IN ('confirmed','unprocessable')
