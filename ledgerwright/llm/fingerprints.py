@@ -16,10 +16,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import map_columns, mix, shingle_hashes, word_hashes
+from ledgerwright.llm.common import map_columns, mix, shingle_hashes, stored, word_hashes
 
 SHINGLE = 5
 BINS = 1024  # a power of two
@@ -125,30 +125,39 @@ def in_sequence(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         # Borders of about equal ranges; any borders give the same result.
         shares = [i / partitions for i in range(1, partitions)]
         cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, 10_000).alias("c")).first()["c"] or []))
-    # Number of borders at or above the id: buckets run from the largest ids down.
-    border = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.size(F.filter(border, lambda c: c > F.col("doc_id")))
-    ) if cuts else F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
+    bucket = _borders_above(F.col("doc_id"), cuts)
     rows = docs.select(bucket.alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The first row of each bucket: one row a bucket, by id alone; ties of an id by their text's digest.
+    # The first row of each bucket, by id and, where ids repeat, a digest of the text: one row a bucket.
     mark = F.xxhash64("text")
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").alias("id"), mark.alias("mark"))).alias("h")).collect()
-    order = sorted(r["bucket"] for r in heads)
-    head = {r["bucket"]: (r["h"]["id"], r["h"]["mark"]) for r in heads}
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # whose last row a head follows; the first's is the last
-    own = rows.withColumn("mark", mark).withColumn("guest", F.lit(False))
-    homes = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(before[b]))]) if order else F.create_map().cast("map<int,int>")
-    is_head = F.lit(False)
-    if order:
-        firsts = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(head[b][0]).cast("bigint"), F.lit(head[b][1])))])
-        is_head = F.struct(F.col("doc_id"), F.col("mark")).eqNullSafe(firsts[F.col("bucket")])
-    places = F.when(is_head, F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(homes[F.col("bucket")].alias("bucket"), F.lit(True).alias("guest")))).otherwise(
-        F.array(F.struct("bucket", F.lit(False).alias("guest")))
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").alias("id"), mark.alias("mark"))).alias("head"))
+    # A head follows the last row of the bucket before it; that of the first bucket the last of all.
+    everything, order = Window.partitionBy(), Window.orderBy("bucket")
+    homes = stored(heads.select(
+        "bucket", "head", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(everything)).alias("home")
+    ), "range-heads")
+    met = rows.withColumn("mark", mark).join(F.broadcast(homes), "bucket")
+    place = lambda b, guest: F.struct(F.col(b).alias("bucket"), F.lit(guest).alias("guest"))
+    is_head = F.struct(F.col("doc_id").alias("id"), F.col("mark")).eqNullSafe(F.col("head"))
+    places = F.when(is_head, F.array(place("bucket", False), place("home", True))).otherwise(F.array(place("bucket", False)))
+    return met.select("doc_id", "text", "mark", F.inline(places)).repartition(len(cuts) + 2, "bucket").sortWithinPartitions(
+        "bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("mark").desc()
     )
-    return own.select("doc_id", "text", "mark", F.inline(places)).repartition(
-        max(len(order), 1), "bucket"
-    ).sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("mark").desc())
+
+
+def _borders_above(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted borders lie above the id; one more than there are for null.
+
+    Looked up in two steps, first among every k-th border, so that a row meets about twice
+    the root of their number.
+    """
+    if not cuts:
+        return F.when(doc_id.isNull(), F.lit(1)).otherwise(F.lit(0))
+    step = max(1, round(len(cuts) ** 0.5))
+    coarse, fine = F.array(*[F.lit(c) for c in cuts[::step]]), F.array(*[F.lit(c) for c in cuts])
+    below = F.size(F.filter(coarse, lambda c: c <= doc_id))  # the id lies in the stretch that the last of these opens
+    start = F.greatest(below - 1, F.lit(0)) * step
+    inside = F.size(F.filter(F.slice(fine, start + 1, step), lambda c: c <= doc_id))
+    return F.when(doc_id.isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - start - inside)
 
 
 REPORT = (
