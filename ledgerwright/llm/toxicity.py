@@ -328,6 +328,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int | None = 5, held: int
     sized = docs.where(F.col("text") != "").select("doc_id", F.length("text").alias("n")).where(F.col("n") <= 8 * TRAIN_WORDS)
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = marks.join(sized.select("doc_id").distinct(), "doc_id").withColumn("rank", F.row_number().over(order))
+    # A bound that is the same for all labels lets each task keep no more rows of a label than that.
+    ranked = ranked.where(F.col("rank") <= max(SAMPLE.values()))
     limit = F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
     picked = ranked.where(F.col("rank") <= limit).select("doc_id", "toxic")
     label = {r["doc_id"]: r["toxic"] for r in picked.collect()}
