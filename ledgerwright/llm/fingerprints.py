@@ -139,7 +139,7 @@ def in_sequence(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     place = lambda b, guest: F.struct(F.col(b).alias("bucket"), F.lit(guest).alias("guest"))
     is_head = F.struct(F.col("doc_id").alias("id"), F.col("mark")).eqNullSafe(F.col("head"))
     places = F.when(is_head, F.array(place("bucket", False), place("home", True))).otherwise(F.array(place("bucket", False)))
-    return met.select("doc_id", "text", "mark", F.inline(places)).repartition(len(cuts) + 2, "bucket").sortWithinPartitions(
+    return met.select("doc_id", "text", "mark", F.inline(places)).repartitionById(len(cuts) + 2, "bucket").sortWithinPartitions(
         "bucket", "guest", F.col("doc_id").desc_nulls_last(), F.col("mark").desc()
     )
 
