@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import json
+import os
+from functools import lru_cache, partial
 
 import numpy as np
 
@@ -15,22 +17,35 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a `tokenizers` file, which are found inside texts before anything else."""
+    with open(json_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the `tokenizers` file of the same vocabulary.
 
     The ranks form of the vocabulary is encoded by `tiktoken`, which takes a quarter of the
-    time; the tests hold its ids against those of `byte_bpe_50k.json`.
+    time; the tests hold its ids against those of `byte_bpe_50k.json`. With `added`, the
+    added tokens of that file are ids of their own wherever a text holds them, as by the
+    defaults of `tokenizers`; without, they are text like any other. A vocabulary given by
+    `ranks_path` has its `tokenizers` file beside it, with the suffix .json.
     """
 
-    def __init__(self, ranks_path: str | None = None):
+    def __init__(self, ranks_path: str | None = None, added: bool = False):
         import public_tokenizers
         import tiktoken
 
-        with open(ranks_path or vocabulary_path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks_path = ranks_path or vocabulary_path("byte_bpe_50k.tiktoken")
+        with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding(
-            "units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        special = added_tokens(f"{os.path.splitext(ranks_path)[0]}.json") if added else {}
+        encoding = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._encode = partial(encoding.encode, allowed_special="all") if special else encoding.encode_ordinary
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids as unsigned 32-bit integers; none for null or empty text."""
@@ -39,5 +54,5 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(ranks_path: str | None = None) -> Encoder:
-    """One encoder a worker process."""
-    return Encoder(ranks_path)
+    """One encoder a worker process, with the added tokens of the vocabulary."""
+    return Encoder(ranks_path, added=True)

@@ -15,7 +15,7 @@ from conftest import SMALL
 from ledgerwright.llm import components, fingerprints, gru, language, neardup, packing, rollups, toxicity
 from ledgerwright.llm.common import keep_keys, shingle_hashes, table, word_hashes
 from ledgerwright.llm.queries import QUERIES
-from ledgerwright.llm.tokens import Encoder, vocabulary_path
+from ledgerwright.llm.tokens import Encoder, encoder, vocabulary_path
 from ledgerwright.session import new_path
 
 BIG = 2**62 + 1  # an id that a double cannot hold
@@ -211,6 +211,26 @@ def test_encoder_equals_the_tokenizers_file():
         assert encode.ids(text).tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_found_in_texts(documents):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))  # with its defaults
+    mark = "<|endoftext|>"
+    texts = [t or "" for _, t in ODD] + [f"hello {mark} world", mark, mark * 3, f" {mark} \n", f"a  {mark}  b\n\n{mark}", "<|endoftext|", f"<{mark}>"]
+    texts += pd.read_parquet(f"{SMALL}/documents.parquet").text.tolist()
+    expected = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    for text, ids in zip(texts, expected):
+        assert encoder().ids(text).tolist() == ids
+    assert encoder().ids(texts[len(ODD)]).tolist() == [31373, 220, 50256, 995]
+    rows = list(enumerate(texts[len(ODD):len(ODD) + 7]))
+    got = collected(packing.pack_documents(documents(rows), ids=True))
+    counts = rollups.counted(documents(rows), "insert", 1).where("tokenizer_version LIKE '%bpe%'").collect()
+    for i, _ in rows:
+        own = got[got.doc_id == i].sort_values("start")
+        assert np.concatenate(own.ids.tolist()).tolist() == [*expected[len(ODD) + i], 1]
+        assert [r.tokens for r in counts if r.doc_id == i] == [len(expected[len(ODD) + i])]
+
+
 def test_packing_round_trip(documents):
     rng = random.Random(9)
     rows = [(1000 + i, "word " * rng.choice([0, 1, 5, 300, 3000])) for i in range(300)] + ODD
