@@ -24,7 +24,8 @@ from ledgerwright.llm.common import keep_keys, map_columns, remainder
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 4, 8
 WORD_SLOTS, CHAR_SLOTS = 1 << 13, 1 << 15
-LETTERS = 64  # of a word that are read
+LETTERS = 64  # of an input word at most; longer words are read as several
+PIECE, STEP = 8, 2  # letters of their pieces, and between the starts of pieces
 PREFIXES, INNER = (1, 2, 3, 4, 5, 6), 3  # characters of the n-grams at a word's start, and within it
 WINDOW, STRIDE = 32, 16  # words in a window, and between window starts
 SAMPLE = {1: 1_000, 0: 2_000}  # labelled documents learned from, by label
@@ -40,7 +41,23 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The input words of a text: its words, those beyond `LETTERS` in parts that leave out no letter.
+
+    Such a word is cut at underscores; a part that is still beyond `LETTERS`, as a line of a
+    script without blanks, is given as overlapping pieces of about a word's length.
+    """
+    words = _WORD.findall(text.lower()) if text else []
+    if max(map(len, words), default=0) <= LETTERS:
+        return words
+    return [part for word in words for part in ([word] if len(word) <= LETTERS else _parts(word))]
+
+
+def _parts(word: str) -> Iterator[str]:
+    for part in list(filter(None, word.split("_"))) or [word]:
+        if len(part) <= LETTERS:
+            yield part
+        else:
+            yield from (part[at:at + PIECE] for at in range(0, len(part) - PIECE + STEP, STEP))
 
 
 def _stir(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -53,8 +70,8 @@ def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slot of each word, number of its character n-grams, and their slots one after another.
 
     The n-grams are the word's prefixes and its trigrams, the first with a mark for its
-    start, the last with one for its end; letters beyond `LETTERS` count for the word's slot
-    by their number. The empty word has slot 0 and the n-gram 0 for padding.
+    start, the last with one for its end; `words_of` gives no word beyond `LETTERS`. The
+    empty word has slot 0 and the n-gram 0 for padding.
     """
     sizes = np.array([len(w) for w in words], np.int64)
     width = int(min(max(sizes.max(), 1), LETTERS))

@@ -344,6 +344,27 @@ def test_toxicity_finds_planted_words():
     assert toxicity_windows[-1][0] + toxicity_windows[-1][1] == 100 and toxicity.windows_of(0) == [(0, 0)]
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    plain = lambda n: [rng.choice(words) for _ in range(n)]
+    bad = lambda: [*plain(rng.randrange(80)), rng.choice(["zorkan", "zorkel", "zorkum"]), *plain(rng.randrange(80))]
+    texts = [" ".join(bad()) for _ in range(150)] + [" ".join(plain(rng.randrange(1, 160))) for _ in range(400)]
+    scorer = toxicity.Scorer(toxicity.train(texts, [1] * 150 + [0] * 400))
+    for glue in ("_", ""):
+        # The same length and the same letters up to the 64th and beyond; only what lies behind differs.
+        clean = [glue.join(plain(n)) + "hhhhhh"[:k] for n in (20, 60, 400) for k in range(4)]
+        toxic = [t + glue + "zorkan" + glue + "abcde" * 9 for t in clean]
+        clean = [t + glue + "abcabc" + glue + "abcde" * 9 for t in clean]
+        assert (scorer.score(toxic) > 0.5).all() and (scorer.score(clean) < 0.5).all()
+    for n in (1, 63, 64, 65, 66, 67, 68, 69, 200, 1001):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = toxicity.words_of(run)
+        assert set("".join(parts)) == set(run) and all(len(p) <= toxicity.LETTERS for p in parts)
+        assert n <= toxicity.LETTERS and parts == [run] or all(any(run[i:i + 7] in p for p in parts) for i in range(n - 6))
+    assert toxicity.words_of("a_b " + "c_" * 40 + " " + "_" * 70)[:42] == ["a_b", *["c"] * 40, "_" * 8]
+
+
 def test_toxicity_query(spark, documents):
     got = QUERIES["op5_toxicity"](spark, SMALL).toPandas()
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
