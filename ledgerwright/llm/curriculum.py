@@ -166,8 +166,14 @@ def training_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(mixed: DataFrame) -> DataFrame:
-    """Digest of `mix`: the columns of the contract and the first position of each document."""
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    """Digest of `mix`: the columns of the contract, one row per row of documents, in training order.
+
+    Rows are range-partitioned and sorted by the first visit's position; those never visited
+    come last. The contract has no column for the position itself (`in_training_order` does).
+    """
+    placed = mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("visits", F.lit(0))["position"].alias("position"))
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id"), F.col("size")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("position")
 
 
 def oracle() -> str:

@@ -14,9 +14,11 @@ task holds more than one group, and a lost task is simply run again.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark import TaskContext
@@ -129,12 +131,24 @@ def powers_of_two(sequence: list[tuple[int, int, int]], full: int) -> list[list[
     return out
 
 
+def file_ranges(docs: DataFrame) -> dict[tuple[str, int], int]:
+    """Numbers of the file blocks that Spark reads `docs` from, in the order in which their rows were written."""
+    blocks = docs.select("_metadata.file_path", "_metadata.file_block_start").distinct().collect()
+
+    def place(block: tuple[str, int]) -> tuple[int, str, int]:
+        name = block[0].rpartition("/")[2]
+        part = re.match(r"part-(\d+)", name)
+        return int(part[1]) if part else -1, name, block[1]
+
+    return {block: i for i, block in enumerate(sorted(map(tuple, blocks), key=place))}
+
+
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 )
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1, ranks_path: str | None = None, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1, ranks_path: str | None = None, ids: bool = False, ordered: bool = False) -> DataFrame:
     """Pieces of all documents, packed: `SCHEMA`, and the piece's ids if `ids` is set.
 
     A document's ids are those of its whole text and `end_id`; each id lies in exactly one
@@ -144,15 +158,19 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
     text longer than a group is a group of its own.
 
     `sequence_id` is the partition's number and a count inside it; offsets in a sequence run
-    gapless from 0.
+    gapless from 0. Spark reads files in an order of its own. With `ordered`, for `docs` read
+    from files whose order means something, the number of the file's block in name order
+    takes the place of the partition's, and no sequence holds rows of two blocks: ids rise
+    along the files from group to group, in any order inside a group.
     """
+    ranges = file_ranges(docs) if ordered else {}
     schema = SCHEMA + (", ids array<int>" if ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def make(batches: Iterator[dict]) -> Iterator[dict]:
         encode = encoder(ranks_path)
         base = TaskContext.get().partitionId() << 36
-        made, keys, rows = 0, [], []
+        block, made, keys, rows = None, 0, [], []
 
         def packed() -> dict:
             nonlocal made, keys, rows
@@ -171,7 +189,13 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
 
         tokens = 0
         for columns in batches:
-            for key, text in zip(columns["doc_id"], columns["text"]):
+            blocks = zip(columns["file_path"], columns["file_block_start"]) if ordered else repeat(None)
+            for key, text, own in zip(columns["doc_id"], columns["text"], blocks):
+                if own != block:
+                    if rows:
+                        yield packed()
+                        tokens = 0
+                    block, base, made = own, ranges[own] << 36, 0
                 got = np.append(encode.ids(text), np.uint32(end_id)).astype("<u4")
                 if rows and (tokens + len(got) > GROUP_TOKENS or len(rows) >= GROUP_EXAMPLES):
                     yield packed()
@@ -182,7 +206,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
         if rows:
             yield packed()
 
-    return map_columns(docs.select("doc_id", "text"), make, schema)
+    place = ["_metadata.file_path", "_metadata.file_block_start"] if ordered else []
+    return map_columns(docs.select("doc_id", "text", *place), make, schema)
 
 
 def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:

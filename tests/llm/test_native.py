@@ -80,6 +80,20 @@ def test_mix_targets_positions_and_odd_rows(documents, duck):
     assert taken.sum() == got.taken.sum()
 
 
+def test_report_follows_the_schedule(documents):
+    rows = [(i, "w " * (1 + i % 30), "en", "abc"[i % 3]) for i in range(600)] + [(9000, None, "en", "a"), (9001, "", "en", "b")]
+    docs = documents(rows)
+    orders = []
+    for schedules in (curriculum.SCHEDULES, curriculum.SCHEDULES[::-1][:2]):
+        mixed = curriculum.mix(docs, schedules=schedules)
+        first = {r.doc_id: r.visits[0].position for r in mixed.collect() if r.visits}
+        got = [r.doc_id for r in curriculum.mix_report(mixed).collect()]
+        assert sorted(got) == sorted(r[0] for r in rows)
+        assert got == sorted(got, key=lambda i: (first.get(i, 2.0), i))
+        orders.append(got)
+    assert orders[0] != orders[1]
+
+
 def test_positions_invert_the_cumulative_demand(spark):
     from pyspark.sql import functions as F
 

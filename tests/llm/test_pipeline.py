@@ -88,3 +88,28 @@ def test_everything_is_packed(spark, stages):
     assert (after.groupby("sequence_id").length.sum() <= 2048).all()
     result = corpus_pipeline.run(spark, SMALL)
     assert result.columns == stages["packing"][1].columns and result.agg({"length": "sum"}).first()[0] == after.length.sum()
+
+
+def test_sequences_are_numbered_along_training_time(spark, tmp_path):
+    # Files of unlike lengths, the longest last; Spark reads long ones first, and cuts them.
+    rows, path = [(i, " ".join(f"w{i}x{k}" for k in range(5 + i // 4))) for i in range(400)], str(tmp_path / "mixed")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").write.option("parquet.block.size", 20_000).parquet(path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, value in zip(names, ("30k", "1k")):
+            spark.conf.set(n, value)
+        read = spark.read.parquet(path)
+        file_of = {r[0]: r[1] for r in read.selectExpr("doc_id", "_metadata.file_name").collect()}
+        got = corpus_pipeline.pack(spark, read, SMALL).toPandas()
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    encode = Encoder()
+    assert got.length.sum() == sum(len(encode.ids(t)) + 1 for _, t in rows)
+    own = got.assign(file=got.doc_id.map(file_of)).groupby("sequence_id").file.agg(["nunique", "first"]).sort_index()
+    assert len(set(file_of.values())) > 5 and (own["nunique"] == 1).all() and own["first"].is_monotonic_increasing
+    for _, piece in got.groupby("sequence_id"):
+        piece = piece.sort_values("offset")
+        assert piece.offset.tolist() == [0, *piece.length.cumsum().tolist()[:-1]] and piece.length.sum() <= 2048
