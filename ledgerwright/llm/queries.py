@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, fingerprints, language, licenses, neardup, packing, rollups, snapshots, toxicity
+from ledgerwright.llm import curriculum, exact_stream, filter_audit, fingerprints, language, licenses, neardup, packing, rollups, snapshots, toxicity
 from ledgerwright.llm.common import keep_keys, table
 from ledgerwright.session import new_path
 
@@ -112,3 +112,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_toxicity"] = op5_toxicity
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each order, by source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_filter_audit"] = op11_filter_audit
+SQL["op11_filter_audit"] = filter_audit.oracle()

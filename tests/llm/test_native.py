@@ -28,7 +28,7 @@ def frame(docs):
 @pytest.mark.parametrize("name", sorted(n for n in SQL if n in QUERIES and n.startswith("op")))
 def test_queries_agree_with_their_sql(spark, duck, name):
     got = QUERIES[name](spark, SMALL).toPandas()
-    tables = {t: pd.read_parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "conversations")}
+    tables = {t: pd.read_parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "conversations", "labels", "embeddings")}
     same_rows(got, duck(SQL[name], **tables))
 
 
