@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, filter_audit, fingerprints, language, licenses, neardup, packing, rollups, snapshots, toxicity
+from ledgerwright.llm import curriculum, exact_stream, filter_audit, fingerprints, hard_negatives, language, licenses, neardup, packing, rollups, snapshots, toxicity
 from ledgerwright.llm.common import keep_keys, table
 from ledgerwright.session import new_path
 
@@ -121,3 +121,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op11_filter_audit"] = op11_filter_audit
 SQL["op11_filter_audit"] = filter_audit.oracle()
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all vectors."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
+SQL["op12_hard_negatives"] = hard_negatives.oracle()
