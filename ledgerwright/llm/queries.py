@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm import curriculum, exact_stream, filter_audit, fingerprints, hard_negatives, language, licenses, neardup, packing, rollups, snapshots, toxicity
+from ledgerwright.llm import (
+    curriculum, exact_stream, filter_audit, fingerprints, hard_negatives, language, licenses, neardup, packing, rollups, snapshots, toxicity, tree_bpe,
+)
 from ledgerwright.llm.common import keep_keys, table
 from ledgerwright.session import new_path
 
@@ -130,3 +132,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_hard_negatives"] = op12_hard_negatives
 SQL["op12_hard_negatives"] = hard_negatives.oracle()
+
+
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents' texts and the texts decoded from them, as digests."""
+    return tree_bpe.encode_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_tree_bpe"] = op13_tree_bpe
