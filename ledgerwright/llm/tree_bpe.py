@@ -217,8 +217,9 @@ def encode_long(texts: DataFrame, ranks_path: str | None = None, leaf: int = LEA
 
     nodes = leaves.where(F.col("depth") == deepest)
     for level in range(deepest, 0, -1):
+        # Of each row one of the two is null, so its ids are shuffled once.
         pairs = nodes.groupBy(*kept, (F.col("depth") - 1).alias("depth"), F.shiftright("node", 1).alias("node")).agg(
-            F.min_by("ids", "node").alias("left"), F.max_by("ids", "node").alias("right")
+            F.max(F.when(F.col("node") % 2 == 0, F.col("ids"))).alias("left"), F.max(F.when(F.col("node") % 2 == 1, F.col("ids"))).alias("right")
         )
         joined = stored(map_columns(pairs, join, shape), f"tree-{level}")
         nodes = joined.unionByName(leaves.where(F.col("depth") == level - 1))
