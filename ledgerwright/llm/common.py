@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,6 +30,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """A column by its name, which may hold dots and back-ticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame, *needed: str) -> DataFrame:
+    """`row`, a struct of all columns of `df`, beside the columns `needed`: names of the caller's meet none of ours."""
+    return df.select(F.struct(*map(column, df.columns)).alias("row"), *map(column, needed))
+
+
+def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` from the struct `row`."""
+    return rows.select(*[F.col("row").getField(name).alias(name) for name in like.columns])
+
+
+def free_names(df: DataFrame, stem: str, n: int) -> list[str]:
+    """`n` column names that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while any(f"{stem}_{i}" in taken for i in range(n)):
+        stem += "_"
+    return [f"{stem}_{i}" for i in range(n)]
+
+
+def first_by_hash(rows: DataFrame, group: str, key: str, most: Column) -> DataFrame:
+    """At most `most` rows of each group: the first in the order of a hash of `key`, with `group`, `key` and their rank.
+
+    Groups are counted first, and rows whose hash lies beyond four times the share that is
+    wanted fall out before the shuffle, so that the rows ranked together follow the sample
+    and not the table.
+    """
+    sizes = rows.groupBy(F.col(group).alias("of")).agg(F.count("*").alias("size"))
+    share = (F.xxhash64(key) / F.lit(2.0**63) + 1) / 2
+    near = rows.join(sizes, F.col(group).eqNullSafe(F.col("of"))).where(share * F.col("size") <= 4 * most)
+    order = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(group, key, "rank")
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from the driver as a local relation, whose size Spark knows."""
     kinds = T._parse_datatype_string(schema)
@@ -93,21 +130,23 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-#: Up to so many keys (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Keys of up to so many bytes are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def keep_keys(wide: DataFrame, keys: DataFrame, *names: str, how: str = "left_semi") -> DataFrame:
     """The rows of `wide` whose columns `names` (nulls included) are in `keys`, or with left_anti are not.
 
-    The keys are written and counted first. While they are few enough for every executor
+    The keys are written and measured first. While they are few enough for every executor
     to hold, wide rows are filtered where they are read; beyond that both sides are shuffled.
     """
-    keys = stored(keys.select(*[F.col(n).alias(f"key_{i}") for i, n in enumerate(names)]), "keys")
-    few = keys.count() <= BROADCAST_KEYS
+    names_of = free_names(wide, "key", len(names))
+    keys = stored(keys.select(*[F.col(n).alias(k) for n, k in zip(names, names_of)]), "keys")
+    width = sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) + 8 for k in names_of), F.lit(0))
+    few = (keys.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES
     same = F.lit(True)
-    for i, n in enumerate(names):
-        same = same & F.col(n).eqNullSafe(F.col(f"key_{i}"))
+    for n, k in zip(names, names_of):
+        same = same & F.col(n).eqNullSafe(F.col(k))
     return wide.join(F.broadcast(keys) if few else keys, same, how)
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import WORD, keep_keys, stored
+from ledgerwright.llm.common import WORD, keep_keys, stored, unpacked, whole
 from ledgerwright.operators.ordered import running_totals
 
 WEIGHTS = (3, 1, 2)
@@ -145,24 +145,25 @@ def training_documents(docs: DataFrame, **options) -> DataFrame:
     Positions are computed on ids and sizes alone; texts are shuffled to meet them and to be
     sorted, no more. Rows that repeat both doc_id and text share their visits.
     """
-    marked = docs.withColumn("__mark", F.xxhash64("text"))
-    mixed = mix(marked, keep=["__mark"], **options)
+    marked = whole(docs, "doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
+    mixed = mix(marked, keep=["text_hash"], **options)
     half = F.filter("visits", lambda v: 2 * v["taken"] >= F.col("size"))
     visits = stored(
-        mixed.where("size > 0").groupBy("doc_id", "__mark").agg(F.flatten(F.collect_list(half)).alias("visits")).where(F.size("visits") > 0)
-        .select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__key"), "visits"),
+        mixed.where("size > 0").groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(half)).alias("visits")).where(F.size("visits") > 0)
+        .select(F.col("doc_id").alias("visited_id"), F.col("text_hash").alias("visited_hash"), "visits"),
         "visits",
     )
     # Rows that repeat a key carry the visits of all of them: one of them is enough.
-    repeated = stored(marked.groupBy("doc_id", "__mark").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    repeated = stored(marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "repeats")
+    marked = marked.select("row", "doc_id", "text_hash")
     if not repeated.isEmpty():
-        single = keep_keys(marked, repeated, "doc_id", "__mark").groupBy("doc_id", "__mark").agg(F.first(F.struct(*docs.columns)).alias("r"))
-        marked = keep_keys(marked, repeated, "doc_id", "__mark", how="left_anti").unionByName(single.select("r.*", "__mark"))
-    rows = marked.join(visits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__key"))).select(
-        *docs.columns, F.explode("visits").alias("__v")
+        single = keep_keys(marked, repeated, "doc_id", "text_hash").groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+        marked = keep_keys(marked, repeated, "doc_id", "text_hash", how="left_anti").unionByName(single)
+    rows = marked.join(visits, F.col("doc_id").eqNullSafe(F.col("visited_id")) & (F.col("text_hash") == F.col("visited_hash"))).select(
+        "row", "doc_id", F.explode("visits").alias("visit")
     )
-    order = [F.col("__v.position"), F.col("__v.pass"), F.col("doc_id")]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    order = [F.col("visit.position"), F.col("visit.pass"), F.col("doc_id")]
+    return unpacked(rows.repartitionByRange(*order).sortWithinPartitions(*order), docs)
 
 
 def mix_report(mixed: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwright.llm.common import SPACE, keep_keys, stored
+from ledgerwright.llm.common import SPACE, keep_keys, stored, unpacked, whole
 from ledgerwright.session import new_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -155,17 +155,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.max("kept").alias("kept"), F.count("*").alias("n")
     )
     verdicts = stored(verdicts.where("NOT kept OR n > 1"), "dedup-verdicts")
-    marked = docs.withColumn("__digest", digest(normalised(F.col("text"))))
-    keys = verdicts.select("doc_id", F.col("text_sha256").alias("__digest"), "kept")
-    left = keep_keys(marked, keys, "doc_id", "__digest", how="left_anti")
+    marked = whole(docs, "doc_id", "text").withColumn("digest", digest(normalised(F.col("text"))))
+    keys = verdicts.select("doc_id", F.col("text_sha256").alias("digest"), "kept")
+    left = keep_keys(marked, keys, "doc_id", "digest", how="left_anti")
     again = keys.where("kept")
     if not again.isEmpty():
         # Rows that repeat their doc_id with the text that stays: one of them, the longest.
-        repeated = keep_keys(marked, again, "doc_id", "__digest")
+        repeated = keep_keys(marked, again, "doc_id", "digest")
         longest = F.struct(F.length("text").alias("n"), F.col("text"))
-        one = repeated.groupBy("doc_id", "__digest").agg(F.max_by(F.struct(*docs.columns), longest).alias("r"))
-        left = left.unionByName(one.select("r.*", "__digest"))
-    return left.select(*docs.columns)
+        one = repeated.groupBy("doc_id", "digest").agg(F.max_by("row", longest).alias("row"))
+        left = left.select("row").unionByName(one.select("row"))
+    return unpacked(left, docs)
 
 
 def described_texts(docs: DataFrame, digest_of=digest) -> DataFrame:

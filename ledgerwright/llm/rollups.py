@@ -4,8 +4,8 @@ A batch of changes (inserts, deletes, revised counts) is turned into signed rows
 document counted before is taken out, what it counts now is put in. The signed rows of a
 batch go to the ledger, their sums per key to the deltas, each in a folder of the batch.
 Totals are the sum of all deltas; nothing that was written is ever changed. A batch is in
-once its deltas are written; delivered again it changes nothing, and one that broke off
-before is computed again from the batches before it.
+once its name stands among the commits, which is written last; delivered again it changes
+nothing, and one that broke off before is not read and is computed again.
 """
 
 from __future__ import annotations
@@ -48,31 +48,41 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _there(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+    def _files(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[int]:
+        """The numbers of the batches that are in."""
+        where, files = self._files()
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(where)) if files.exists(where) else []
 
     def is_in(self, batch: int) -> bool:
-        return self._there(f"{self.path}/deltas/batch={batch}/_SUCCESS")
+        return batch in self.batches()
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if not self._there(f"{self.path}/{name}"):
+        """The rows of the batches that are in; folders of others are not looked at."""
+        own = self.batches()
+        if not own:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/batch={b}" for b in own])
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Take in a batch of `CHANGES`; False if it was in before.
 
-        Batches are committed in the order of their numbers. In a batch the change with the
+        Batches are committed in the order of their numbers: a new one below the last that is
+        in is refused (ValueError), as later ones were computed without it. In a batch the change with the
         largest `seq` of a document and tokenizer version holds (ties: by op, then counts).
         `insert` and `revise` set the document's source, language and count, whether it is
         known or not; `delete` takes out what is known. A null count is 0; null source and
         language are keys of their own; changes without a doc_id or tokenizer version, or
         with another op, are ignored. An empty batch is committed as empty.
         """
-        if self.is_in(batch):
+        own = self.batches()
+        if batch in own:
             return False
+        if own and batch < own[-1]:
+            raise ValueError(f"batch {batch} comes after batch {own[-1]} is in")
         valid = changes.where("doc_id IS NOT NULL AND tokenizer_version IS NOT NULL AND op IN ('insert', 'delete', 'revise')")
         last = valid.groupBy("doc_id", "tokenizer_version").agg(F.max(F.struct(
             "seq", "op", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), "source", "lang",
@@ -80,13 +90,11 @@ class TokenRollup:
         now = last.select(
             "doc_id", "tokenizer_version", "c.source", "c.lang", F.lit(1).cast("long").alias("documents"), "c.tokens", "c.op",
         )
-        known = self._read("ledger", LEDGER).where(F.col("batch") < batch)
-        live = known.groupBy("doc_id", *KEYS).agg(
+        # Only what the batch touches is summed up.
+        known = self._read("ledger", LEDGER).join(now.select("doc_id", "tokenizer_version"), ["doc_id", "tokenizer_version"], "left_semi")
+        taken_out = known.groupBy("doc_id", *KEYS).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
-        ).where("documents > 0")
-        taken_out = live.join(now.select("doc_id", "tokenizer_version"), ["doc_id", "tokenizer_version"], "left_semi").select(
-            "doc_id", *KEYS, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")
-        )
+        ).where("documents > 0").select("doc_id", *KEYS, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens"))
         put_in = now.where("op <> 'delete'").select("doc_id", *KEYS, "documents", "tokens")
         signed = taken_out.unionByName(put_in).groupBy("doc_id", *KEYS).agg(
             F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")
@@ -97,6 +105,8 @@ class TokenRollup:
         rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.mode(
             "overwrite"
         ).parquet(f"{self.path}/deltas/batch={batch}")
+        where, files = self._files()
+        files.create(self.spark._jvm.org.apache.hadoop.fs.Path(where, str(batch)), True).close()
         return True
 
     def totals(self) -> DataFrame:
