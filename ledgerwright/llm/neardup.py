@@ -33,7 +33,7 @@ MISS = 1e-6  # chance to miss a pair at the threshold, in banding and again in p
 BATCH, BATCHES = 32, 6  # signature values per comparison, and comparisons
 STAR_ROUNDS = 2
 SMALL = 16  # sets of a bucket whose pairs are rows of their own; larger buckets are cut into blocks
-BLOCK = 2_048  # sets in a block
+BLOCK, BLOCK_BYTES = 2_048, 16 << 20  # sets in a block, and bytes of their shingles
 SEED = 7_919
 
 
@@ -195,8 +195,11 @@ def _linked_inside(group: pa.Table, need: list[int], percent: int) -> pa.Table:
 
 
 def _links_of_large(rows: DataFrame, bodies: DataFrame, need: list[int], percent: int) -> DataFrame:
-    """Links in buckets of many sets; `rows` has key, band, node, root and the bucket's size n."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Links in buckets of many sets; `rows` has key, band, node, root and the bucket's sets n and shingles.
+
+    A task holds two blocks; long texts make blocks of fewer sets.
+    """
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, 8 * F.col("shingles") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     # A row goes to the blocks of its part with every part, its own included.
     blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(
@@ -235,12 +238,13 @@ def near_duplicates(
     nodes = stored(
         described.where("n_shingles > 0").groupBy("set_key").agg(
             F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"),
+            F.first("n_shingles").alias("n_shingles"),
         ).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = stored(entries.join(shared, "key"), "buckets")
+    entries = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    buckets = stored(entries.drop("n_shingles").join(shared, "key"), "buckets")
     hot = stored(buckets.select("node").distinct(), "hot-nodes")
     wanted = stored(nodes.join(hot, "node"), "candidates")
     sets = stored(_shingle_sets(docs, wanted.select("node", "set_key", "doc_id"), size), "sets")
@@ -286,4 +290,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows that share a doc_id stay if one of them does, and so do rows without one.
     """
     verdicts = near_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return keep_keys(docs, verdicts.where("NOT kept"), "doc_id", how="left_anti").select(*docs.columns)
+    return keep_keys(docs, verdicts.where("NOT kept"), "doc_id", how="left_anti")
