@@ -11,15 +11,16 @@ each as a bag of windows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import gru
-from ledgerwright.llm.common import keep_keys, map_columns, remainder
+from ledgerwright.llm.common import first_by_hash, keep_keys, map_columns, remainder, stored
 
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 4, 8
@@ -35,6 +36,8 @@ MIN_STEPS = 320  # small samples are gone through more often
 TOP, EXPLORE = {1: 1, 0: 5}, 3  # windows of a document learned from, by label; others tried at first
 POSITIVE, DECAY = 2.0, 2e-3  # weight of toxic documents, and shrinking of the embeddings at each step
 KNOWN = 150_000  # words whose inputs a worker remembers
+GROUP, PIECE_WORDS = 100_000, 49_152  # words scored together, and words of one text among them (whole strides)
+LEARN_AT_ONCE = 8_192  # words whose inputs are made together
 AT_ONCE = 2_048  # windows in one run of the network
 SEED = 5
 _WORD = re.compile(r"\w+")
@@ -282,16 +285,17 @@ class Scorer:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.f = np.zeros((1, 3 * HIDDEN), gru.F32)
-        self.b = self.f
+        if not hasattr(self, "f"):
+            self.f, self.b = (np.zeros((KNOWN, 3 * HIDDEN), gru.F32) for _ in range(2))
         self._learn([""])
 
     def _learn(self, words: list[str]) -> None:
-        x = Words(words).vectors(self.model)
-        if not self.number:
-            self.f, self.b = self.f[:0], self.b[:0]
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.f, self.b = np.concatenate([self.f, x @ self.model["fi"]]), np.concatenate([self.b, x @ self.model["bi"]])
+        """The projected inputs of new words; there is room for `KNOWN` in all."""
+        for at in range(0, len(words), LEARN_AT_ONCE):
+            part, first = words[at:at + LEARN_AT_ONCE], len(self.number)
+            x = Words(part).vectors(self.model)
+            self.f[first:first + len(part)], self.b[first:first + len(part)] = x @ self.model["fi"], x @ self.model["bi"]
+            self.number.update(zip(part, range(first, first + len(part))))
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         number = self.number
@@ -307,7 +311,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The probability that each whole text is toxic: that of its most toxic window."""
         best = np.full(len(texts), -np.inf)
-        for group in _by_words([words_of(t) for t in texts], 100_000):
+        for group in _by_words(texts, GROUP):
             ids = self.ids([w for _, w in group])
             used, local = np.unique(np.concatenate([[0], *ids]), return_inverse=True)
             xf, xb, start, pieces = self.f[used], self.b[used], 1, []
@@ -320,15 +324,36 @@ class Scorer:
         return gru.sigmoid(best)
 
 
-def _by_words(texts: list[list[str]], most: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """Numbered texts in groups of about `most` words."""
+def pieces_of(text: str | None) -> Iterator[list[str]]:
+    """The input words of a text in pieces whose windows are together those of the whole.
+
+    A piece goes on for as many words as its last window needs; what lies behind is a piece
+    of its own if a window begins there.
+    """
+    if text is None or len(text) <= PIECE_WORDS:  # cannot have more words
+        yield words_of(text)
+        return
+    more, first = WINDOW - STRIDE, True
+    held: list[str] = []
+    for word in _WORD.finditer(text.lower()):
+        held += words_of(word[0])
+        while len(held) > PIECE_WORDS + more:
+            yield held[:PIECE_WORDS + more]
+            held, first = held[PIECE_WORDS:], False
+    if first or len(held) > more:
+        yield held
+
+
+def _by_words(texts: Iterable[str | None], most: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Numbered texts' pieces in groups of about `most` words; no more than one group is held as words."""
     group, size = [], 0
-    for i, words in enumerate(texts):
-        group.append((i, words))
-        size += len(words)
-        if size >= most:
-            yield group
-            group, size = [], 0
+    for i, text in enumerate(texts):
+        for words in pieces_of(text):
+            if group and size + len(words) > most:
+                yield group
+                group, size = [], 0
+            group.append((i, words))
+            size += len(words)
     if group:
         yield group
 
@@ -337,20 +362,23 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int | None = 5, held: int
     """The network, from a bounded sample of labelled documents outside the held-out ones.
 
     At most `SAMPLE` documents of each label, the first in the order of a hash of their id,
-    of at most `TRAIN_WORDS` words. `modulus` None holds nothing out.
+    of at most 8 * `TRAIN_WORDS` characters; a label that has none of these is learned from
+    longer ones. `modulus` None holds nothing out. Where a label has no document at all, there
+    is nothing to learn: a warning says so, and all texts get one score.
     """
     marks = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if modulus:
         marks = marks.where(remainder(F.col("doc_id"), modulus) != held)
-    sized = docs.where(F.col("text") != "").select("doc_id", F.length("text").alias("n")).where(F.col("n") <= 8 * TRAIN_WORDS)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = marks.join(sized.select("doc_id").distinct(), "doc_id").withColumn("rank", F.row_number().over(order))
-    # A bound that is the same for all labels lets each task keep no more rows of a label than that.
-    ranked = ranked.where(F.col("rank") <= max(SAMPLE.values()))
-    limit = F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    picked = ranked.where(F.col("rank") <= limit).select("doc_id", "toxic")
+    sized = docs.where(F.col("text") != "").groupBy("doc_id").agg(F.min(F.length("text") > 8 * TRAIN_WORDS).alias("long"))
+    known = stored(marks.join(sized, "doc_id"), "labelled")
+    short = {r["toxic"] for r in known.where("NOT long").select("toxic").distinct().collect()}
+    fit = known.where(~F.col("long") | ~F.col("toxic").isin(*short) if short else F.lit(True))
+    picked = first_by_hash(fit, "toxic", "doc_id", F.when(F.col("toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])).select("doc_id", "toxic")
     label = {r["doc_id"]: r["toxic"] for r in picked.collect()}
-    texts = keep_keys(docs.where(F.length("text") <= 8 * TRAIN_WORDS), picked, "doc_id").select("doc_id", "text").collect()
+    if len(set(label.values())) < 2:
+        warnings.warn("toxicity: labelled documents of both kinds are needed to learn anything", stacklevel=2)
+    longest = F.lit(True) if short != {0, 1} else F.length("text") <= 8 * TRAIN_WORDS
+    texts = keep_keys(docs.where(longest), picked, "doc_id").select("doc_id", "text").where("text <> ''").collect()
     rows = sorted((r["doc_id"], r["text"]) for r in texts if r["doc_id"] in label)
     return train([t for _, t in rows], [label[i] for i, _ in rows])
 
