@@ -47,6 +47,25 @@ def ack_ranges(acked: DataFrame, key: str = "vendor_id") -> DataFrame:
     )
 
 
+def ack_map(acked: DataFrame, key: str = "vendor_id") -> DataFrame:
+    """(key, acked): per vendor the least and greatest acked value of each logarithmic bucket.
+
+    A map has an entry per bucket, not per value: amounts of 38 digits span some 440 buckets.
+    """
+    entries = F.collect_list(F.struct("bucket", F.struct("least", "greatest").alias("ends")))
+    return ack_ranges(acked, key).groupBy(key).agg(F.map_from_entries(entries).alias("acked"))
+
+
+def within_acked(value: Column, acked: Column) -> Column:
+    """Is the value within 10 % of one in the vendor's `ack_map`? False without one."""
+    x = value.cast("double")
+    near = lambda a: F.abs(x - a) / a < fixed.ACK_FRACTION
+    buckets = F.sequence(F.floor((F.ln(x / _LOW) - 1e-9) / _WIDTH), F.floor((F.ln(x / _HIGH) + 1e-9) / _WIDTH))
+    ends = F.transform(buckets, lambda b: F.try_element_at(acked, b))
+    hit = F.exists(ends, lambda e: F.coalesce(near(e["least"]) | near(e["greatest"]), F.lit(False)))
+    return F.when(acked.isNotNull() & (x > 0), hit).otherwise(F.lit(False))
+
+
 def drop_acked(
     outliers: DataFrame, acked: DataFrame, key: str = "vendor_id", x: str = "total",
     id_col: str = "invoice_id",

@@ -1,4 +1,4 @@
-"""Word boxes, extraction from text, stored lexemes, nested rows, whole processing."""
+"""Word boxes, extraction from text, stored lexemes, nested rows."""
 
 from __future__ import annotations
 
@@ -8,18 +8,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
-from ledgerwright.functions.amounts import MONEY
 from ledgerwright.functions.stemming import lexemes
 from ledgerwright.operators.extract import Extractor, nest_rows, read_markers
 from ledgerwright.operators.fields import raw_text
-from ledgerwright.operators.scan import append_extractions
-from ledgerwright.operators.vendors import vendor_stats
 from ledgerwright.operators.words import field_boxes
 from ledgerwright.plans import testmodel as tm
-from ledgerwright.plans.process import Stored, process, retry
-from ledgerwright.schema import INVOICES
 from registry.sqlmodel import RAW
-from registry.triage import tier_rows
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -140,51 +134,3 @@ QUERIES["raw_text"] = lambda spark, d: tm.extractions(spark, d, texts=True).wher
     "invoice_id", F.sha2(raw_text(F.col("fields"), F.col("line_items"), F.col("tax_rows")), 256).alias("text_hash")
 )
 SQL["raw_text"] = f"WITH {RAW} SELECT invoice_id, sha256(raw_text) AS text_hash FROM raw"
-
-
-def _inputs(spark, d):
-    """Orders as documents. Even keys are stored already; the rest arrive. Ten keys share a hash."""
-    rows = tm.order_rows(spark, d, amounts=False)
-    k = F.col("k")
-    shared = F.substring(F.md5((F.floor(k / 10)).cast("string")), 1, 16)
-    invoices = tm.invoices(spark, d).withColumn("k", F.conv(F.substring("invoice_id", 25, 12), 16, 10).cast("bigint")).withColumn(
-        "perceptual_hash", shared
-    )
-    stored_invoices = invoices.where(k % 2 == 0).select(*[f.name for f in INVOICES.fields])
-    confirmed = tm.order_rows(spark, d).where((k % 2 == 0) & (F.col("review_status") == "confirmed") & F.col("vendor_id").isNotNull())
-    stats = vendor_stats(confirmed.withColumn("total", F.col("total").try_cast(MONEY)))
-    documents = invoices.where(k % 2 == 1).select(
-        "invoice_id", "file_hash", "storage_key",
-        F.when(k % 4 == 1, F.col("perceptual_hash")).alias("perceptual_hash"), "uploaded_at",
-        (k % 5 != 3).alias("has_text"), F.when(k % 77 == 1, 3).cast("int").alias("force_tier"),
-    )
-    return documents, Stored(stored_invoices, tm.vendors(spark, d), stats), rows
-
-
-def _process(spark, d):
-    documents, stored, _ = _inputs(spark, d)
-    return process(documents, tier_rows(spark, d).drop("k"), stored)
-
-
-# The steps are each checked above; the whole is checked against Python in the tests.
-QUERIES["process_documents"] = lambda spark, d: _process(spark, d).extractions.select(
-    "invoice_id", "state", F.size("tiers").alias("tiers"), F.array_join(F.transform("reasons", lambda r: r["type"]), ",").alias("reasons"),
-    F.round(F.array_min(F.map_values("confidence")), 4).alias("low"),
-)
-
-
-def _retry(spark, d):
-    """Stored invoices whose key ends in 4 read again from tier 2."""
-    documents, stored, rows = _inputs(spark, d)
-    chosen = rows.where(F.col("k") % 10 == 4).select(
-        "invoice_id", F.lit(2).alias("force_tier"), F.lit(True).alias("has_text"), F.timestamp_seconds(F.unix_seconds("ts") + 10**9).alias("retried_at")
-    )
-    again = retry(chosen, stored.invoices, tier_rows(spark, d).drop("k"), stored)
-    new = again.extractions
-    old = tm.extractions(spark, d).where(F.col("k") % 2 == 0).withColumn("tiers", F.lit(None).cast(new.schema["tiers"].dataType)).select(*new.columns)
-    return append_extractions(old, new)
-
-
-QUERIES["retry_documents"] = lambda spark, d: _retry(spark, d).groupBy("is_current").agg(
-    F.count("*").alias("rows"), F.countDistinct("invoice_id").alias("invoices")
-)
