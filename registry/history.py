@@ -14,6 +14,8 @@ from ledgerwright.operators.vendors import (
     fold_confirms, point_in_time_stats, resolve_vendors, vendor_stats,
 )
 from ledgerwright.plans import testmodel as tm
+from ledgerwright.session import new_path
+from ledgerwright.sources.store import ExtractionStore
 from registry.sqlmodel import BASE, EVENTS, ORD, R4
 
 QUERIES: dict = {}
@@ -44,6 +46,25 @@ QUERIES["promote_extraction"] = _promoted
 SQL["promote_extraction"] = f"""WITH {VERSIONS} SELECT extraction_id,
   CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN v = 1 ELSE v = 0 END AS is_current FROM ext"""
 
+def _kept(spark, d, promoted=False):
+    """Older rows, then newer ones, which come twice, in a stored table; read back."""
+    rows = tm.extractions(spark, d).select("extraction_id", "invoice_id", "created_at", "is_current", "k")
+    older = F.col("extraction_id").endswith("-old")
+    store = ExtractionStore(spark, new_path(spark, "extraction-store"), rows.schema, buckets=16)
+    store.append(rows.where(older))
+    store.append(rows.where(~older))
+    store.append(rows.where(~older))
+    if promoted:
+        store.promote(rows.where(older & (F.col("k") % 2 == 0)).select("invoice_id", "extraction_id"))
+    return store.read().select("extraction_id", "invoice_id", "is_current")
+
+
+QUERIES["store_append"] = _kept
+SQL["store_append"] = f"WITH {VERSIONS} SELECT extraction_id, invoice_id, v = 0 AS is_current FROM ext"
+QUERIES["store_promote"] = lambda spark, d: _kept(spark, d, promoted=True)
+SQL["store_promote"] = f"""WITH {VERSIONS} SELECT extraction_id, invoice_id,
+  CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN v = 1 ELSE v = 0 END AS is_current FROM ext"""
+
 QUERIES["invoice_with_current"] = lambda spark, d: invoices_with_current(
     tm.invoices(spark, d), tm.extractions(spark, d).where(F.col("k") % 4 != 1)
 ).select(

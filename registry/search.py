@@ -10,6 +10,7 @@ from ledgerwright.plans import testmodel as tm
 from ledgerwright.plans.query import StructuredQuery, filtered, run_aggregate, run_query, with_shares
 from ledgerwright.session import new_path
 from ledgerwright.sources.export import export_rows, read_extractions, write_extractions
+from ledgerwright.sources.postings import search_postings, write_postings
 from registry.sqlmodel import BASE, ORD, RAW
 
 QUERIES: dict = {}
@@ -101,6 +102,21 @@ _stored("stored_total_between", [("total", "between", [1000, 100000])], "filter_
 _stored("stored_fts_all_terms", [("raw_text", "fts_matches", "the blue rings")], "filter_fts_all_terms")
 
 
+def _posted(spark, d):
+    """The same search over postings that were written and read back."""
+    path = new_path(spark, "postings")
+    base = tm.base(spark, d, True)
+    write_postings(base.select("invoice_id", "raw_text"), path, "invoice_id", "raw_text")
+    hits = search_postings(spark, path, "the blue rings", "invoice_id")
+    return tm.base(spark, d).join(hits, "invoice_id", "left_semi").select(
+        "invoice_id", "vendor_table_name", F.col("total_amount").cast("double").alias("total"), "state"
+    )
+
+
+QUERIES["posted_fts_all_terms"] = _posted
+SQL["posted_fts_all_terms"] = SQL["filter_fts_all_terms"]
+
+
 def _sorted(key: str, query: StructuredQuery, order: str, limit: int) -> None:
     QUERIES[key] = lambda spark, d: run_query(tm.base(spark, d), query).select(
         "invoice_id", "vendor_table_name", F.col("total_amount").cast("double").alias("total")
