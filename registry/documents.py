@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright import fixed
 from ledgerwright.functions.stemming import lexemes
-from ledgerwright.operators.extract import Extractor, nest_rows, read_markers
+from ledgerwright.operators.extract import Extractor, extract_patterns, nest_rows
 from ledgerwright.operators.fields import raw_text
 from ledgerwright.operators.words import field_boxes
 from ledgerwright.plans import testmodel as tm
@@ -59,25 +59,15 @@ SELECT m.doc_id, CAST(m.page AS INTEGER) AS page, round(CAST(least(x0, xb, xc) /
 FROM m JOIN e ON e.doc_id = m.doc_id AND e.page = m.page WHERE first = 1"""
 
 
-def _marked(spark, d):
-    docs = tm.table(spark, d, "documents")
-    k = F.col("doc_id")
-    marks = F.concat(
-        F.lit(" [seed-vendor: Vendor "), (k % 20).cast("string"), F.lit(" ] [seed-number:N-"), k.cast("string"), F.lit("]"),
-        F.when(k % 6 != 0, F.concat(F.lit("[seed-total:"), (k % 5000).cast("string"), F.lit(".25]"))).otherwise(""),
-        F.when(k % 10 == 0, " [STUB:fail]").otherwise(""),
-    )
-    return docs.select("doc_id", F.concat("text", marks).alias("text"))
-
-
-QUERIES["extract_markers"] = lambda spark, d: read_markers(_marked(spark, d)).select(
-    "doc_id", "vendor_name", "invoice_number", "subtotal", "tax", "total", "extraction_failed"
-)
-SQL["extract_markers"] = """WITH m AS (SELECT doc_id AS k, doc_id % 10 = 0 OR contains(lower(text), '[stub:fail]') OR contains(lower(text), 'encrypted document') AS f,
-  CASE WHEN doc_id % 6 <> 0 THEN CAST(doc_id % 5000 + 0.25 AS DECIMAL(18,2)) END AS t FROM documents)
-SELECT k AS doc_id, CASE WHEN NOT f THEN 'Vendor ' || (k % 20) END AS vendor_name, CASE WHEN NOT f THEN 'N-' || k END AS invoice_number,
-  CASE WHEN NOT f THEN CAST(CAST(round(t * 0.85, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS subtotal,
-  CASE WHEN NOT f THEN CAST(CAST(t - round(t * 0.85, 2) AS DECIMAL(18,2)) AS VARCHAR) END AS tax, CASE WHEN NOT f THEN CAST(t AS VARCHAR) END AS total, f AS extraction_failed FROM m"""
+#: What is read from the texts: the first match of each, which means the same to Java's and to RE2's patterns.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "link": r"https?://[^ \t\n\r<>]+", "day": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "amount": r"[$€£] ?[0-9][0-9,.]*", "number": r"[0-9]{3}[-. ][0-9]{3,4}[-. ]?[0-9]*",
+}
+QUERIES["extract_fields"] = lambda spark, d: extract_patterns(tm.table(spark, d, "documents").select("doc_id", "text"), _PATTERNS).drop("text")
+SQL["extract_fields"] = "SELECT doc_id, " + ", ".join(
+    f"nullif(regexp_extract(text, '{pattern}'), '') AS {name}" for name, pattern in _PATTERNS.items()
+) + ", coalesce(" + " AND ".join(f"regexp_extract(text, '{pattern}') = ''" for pattern in _PATTERNS.values()) + ", true) AS extraction_failed FROM documents"
 
 
 def _first_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
