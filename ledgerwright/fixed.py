@@ -75,12 +75,6 @@ ANNOTATION_FIELDS = {
     "currency_code_amount_due": "currency",
 }
 
-# --- Fixed values: markers read from document text ------------------------
-VENDOR_MARKER = r"\[seed-vendor:([^\]]+)\]"
-NUMBER_MARKER = r"\[seed-number:([^\]]+)\]"
-TOTAL_MARKER = r"\[seed-total:([\d.]+)\]"
-FAILURE_MARKERS = ("[stub:fail]", "encrypted document")
-
 # --- Fixed values: patterns stripped before soft comparison ---------------
 AMOUNT_NOISE = r"[,$£€¥₹\s]|USD|EUR|GBP|INR|JPY|US\$|CAD|AUD"
 AMOUNT_TAIL = r"[.\-−–—\s]+$"
