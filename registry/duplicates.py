@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerwright.operators.duplicates import content_duplicates, detect_duplicates, near_duplicates
 from ledgerwright.operators.fields import field_diff
 from ledgerwright.plans import testmodel as tm
-from ledgerwright.session import cut_lineage
+from ledgerwright.session import cut_lineage, new_path
+from ledgerwright.sources.hash_index import HashIndex
 from ledgerwright.sources.ingest import address_content, drop_known, invoice_of_document, seeded_sample
 from registry.sqlmodel import BASE, DOCS
 
@@ -28,6 +29,25 @@ NEAR = DOCS + """, cand AS (SELECT a.invoice_id, b.invoice_id AS near_id, bit_co
 near AS (SELECT invoice_id, near_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY distance, uploaded_at, near_id) AS r FROM cand) WHERE r = 1)"""
 SQL["near_duplicates"] = f"WITH {NEAR} SELECT invoice_id, near_id, CAST(distance AS BIGINT) AS distance FROM near"
 
+
+
+def _indexed(spark, d):
+    """All documents in ten batches by time, each probing the stored index and joining it."""
+    docs = _documents(spark, d)
+    index = HashIndex(spark, new_path(spark, "hash-index"), buckets=64, fan=4)
+    most = docs.agg(F.max("k")).first()[0] or 0
+    parts = [
+        index.probe_and_add(docs.where(F.floor(F.col("k") * 10 / (most + 1)) == i), i) for i in range(10)
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select("invoice_id", "near_id", F.col("distance").cast("bigint").alias("distance"))
+
+
+QUERIES["indexed_near_duplicates"] = _indexed
+SQL["indexed_near_duplicates"] = SQL["near_duplicates"]
+
 QUERIES["exact_duplicates"] = lambda spark, d: content_duplicates(_documents(spark, d)).select(
     "invoice_id", "content_id", F.col("content_distance").cast("bigint").alias("content_distance")
 )
