@@ -17,6 +17,8 @@ EXPORT_COLUMNS = (
     "invoice_id", "vendor_name", "invoice_number", "invoice_date", "subtotal", "tax", "total",
     "currency", "triage_state", "review_status", "uploaded_at", "reasons",
 )
+# Blanks around a value belong to it.
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def export_rows(base: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def write_export(base: DataFrame, path: str, query: dict, exported_at: str, form
     rows = export_rows(base).observe(counted, F.count(F.lit(1)).alias("row_count"))
     writer = rows.write.mode("overwrite")
     if form == "csv":
-        writer.option("header", "true").option("escape", '"').csv(f"{path}/rows")
+        writer.option("header", "true").options(**CSV).csv(f"{path}/rows")
     elif form == "json":
         writer.option("ignoreNullFields", "false").json(f"{path}/rows")
     else:
@@ -54,6 +56,34 @@ def write_export(base: DataFrame, path: str, query: dict, exported_at: str, form
     base.sparkSession.createDataFrame(about, "exported_at string, row_count bigint, query string").write.mode("overwrite").json(f"{path}/query")
 
 
+def write_export_file(base: DataFrame, path: str, query: dict, exported_at: str) -> None:
+    """One CSV in sections: all files below `path`, put together in the order of their names, are the export.
+
+    Section 1 holds the rows in the order of `base`, written by all tasks; section 0 the
+    lines that tell time, number of rows and query, and the header where there are rows.
+    The number is counted while the rows are written, so section 0 comes last, and an export
+    without it is not finished.
+    """
+    spark, counted = base.sparkSession, Observation()
+    rows = export_rows(base).observe(counted, F.count(F.lit(1)).alias("row_count"))
+    spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/section=0")
+    lines = rows.select(F.to_csv(F.struct(*EXPORT_COLUMNS), CSV).alias("value"))
+    lines.write.mode("overwrite").text(f"{path}/section=1")
+    count = counted.get["row_count"]
+    head = [f"# Exported at: {exported_at}", f"# Rows: {count}", f"# Query: {json.dumps(query, sort_keys=True)}"]
+    head += [",".join(EXPORT_COLUMNS)] if count else []
+    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/section=0")
+
+
+def read_export(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """Rows of an export in CSV: a folder whose files begin with a header each, or section 1 of one written in sections.
+
+    Nothing between commas is null, two quotes are an empty text.
+    """
+    schema = ", ".join(f"{name} string" for name in EXPORT_COLUMNS)
+    return spark.read.schema(schema).options(**CSV, nullValue="\0", multiLine="true", header=str(header).lower()).csv(path)
+
+
 def append_usage(calls: DataFrame, path: str, batch: str | None = None) -> None:
     """Append priced calls to the usage log; a batch that is written again replaces itself."""
     priced = price_calls(calls)

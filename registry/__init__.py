@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = (
     "search", "scalars", "triage", "history", "anomalies", "duplicates", "rollups", "usage",
-    "evaluation", "actions", "documents", "processing", "streams",
+    "evaluation", "actions", "documents", "processing", "streams", "roundtrips",
 )
 
 
