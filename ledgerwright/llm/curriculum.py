@@ -167,18 +167,42 @@ def training_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_report(mixed: DataFrame) -> DataFrame:
-    """Digest of `mix`: the columns of the contract, one row per row of documents, in training order.
+    """Digest of `mix`: the columns of the contract, the number of visits and the positions of the first and the last
+    one (0 to 1, nine places; null where there is none), one row per row of documents, in training order.
 
-    Rows are range-partitioned and sorted by the first visit's position; those never visited
-    come last. The contract has no column for the position itself (`in_training_order` does).
+    Rows are range-partitioned and sorted by the first position; those never visited come last.
     """
-    placed = mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("visits", F.lit(0))["position"].alias("position"))
-    order = [F.col("position").asc_nulls_last(), F.col("doc_id"), F.col("size")]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("position")
+    first, last = F.get("visits", F.lit(0))["position"], F.try_element_at("visits", F.lit(-1))["position"]
+    placed = mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("visits").alias("visits"), first.alias("at"),
+        F.round(first, 9).alias("first_position"), F.round(last, 9).alias("last_position"),
+    )
+    order = [F.col("at").asc_nulls_last(), F.col("doc_id"), F.col("size")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("at")
+
+
+def _position_sql(share: str, knots) -> str:
+    """SQL of `position_at`."""
+    areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:])]
+    cases, done = [], 0.0
+    for (a, b), area in zip(zip(knots, knots[1:]), areas):
+        slope = (b[1] - a[1]) / (b[0] - a[0])
+        left = f"greatest({share} * {sum(areas)}::DOUBLE - {done}::DOUBLE, 0.0::DOUBLE)"
+        into = f"{left} / {a[1]}::DOUBLE" if slope == 0 else (
+            f"CASE WHEN {left} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {left} / ({a[1]}::DOUBLE + sqrt({a[1] ** 2}::DOUBLE + {2 * slope}::DOUBLE * {left})) END"
+        )
+        done += area
+        cases.append(f"WHEN {share} * {sum(areas)}::DOUBLE <= {done}::DOUBLE THEN least({a[0]}::DOUBLE + {into}, {b[0]}::DOUBLE)")
+    return f"CASE {' '.join(cases)} ELSE {knots[-1][0]}::DOUBLE END"
 
 
 def oracle() -> str:
     """SQL of `mix_report` with the standing parameters."""
+    def position(p: str) -> str:
+        share = f"(({p} * source_size + before)::DOUBLE / whole::DOUBLE)"
+        cases = " ".join(f"WHEN {i} THEN {_position_sql(share, knots)}" for i, knots in enumerate(SCHEDULES))
+        return f"CASE WHEN len(passes) > 0 THEN round(CASE rank % 3 {cases} END, 9) END"
+
     return r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][rank % 3 + 1]::BIGINT AS weight FROM s),
@@ -187,9 +211,12 @@ o AS (SELECT *, 2 * source_size / weight AS stops_at, sum(source_size) OVER () A
   WINDOW before AS (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 r AS (SELECT *, (3 * words - 4 * stopped)::DOUBLE / (2.0::DOUBLE * (weights - gone)::DOUBLE) AS rate FROM o),
 g AS (SELECT min_by(rate, stops_at) AS rate FROM r WHERE rate <= stops_at),
-t AS (SELECT r.source, source_size, least(2.0::DOUBLE * source_size::DOUBLE, weight::DOUBLE * coalesce(g.rate, 'inf'::DOUBLE)) AS target FROM r, g),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::HUGEINT AS whole,
+t AS (SELECT r.source, rank, source_size, least(2.0::DOUBLE * source_size::DOUBLE, weight::DOUBLE * coalesce(g.rate, 'inf'::DOUBLE)) AS target FROM r, g),
+c AS (SELECT d.doc_id, d.size, t.rank, t.source_size, t.target, floor(t.target)::HUGEINT AS whole,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN greatest(least(whole - before, size), 0) + greatest(least(whole - source_size - before, size), 0)
-  ELSE 0 END)::BIGINT AS taken FROM c"""
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, CASE WHEN size > 0 THEN greatest(least(whole - before, size), 0) ELSE 0 END AS one,
+  CASE WHEN size > 0 THEN greatest(least(whole - source_size - before, size), 0) ELSE 0 END AS two FROM c),
+v AS (SELECT *, CASE WHEN one > 0 THEN [0] ELSE [] END || CASE WHEN two > 0 THEN [1] ELSE [] END AS passes FROM n)
+SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken, len(passes)::INTEGER AS visits,
+  @first AS first_position, @last AS last_position FROM v""".replace("@first", position("passes[1]")).replace("@last", position("passes[-1]"))

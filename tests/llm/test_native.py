@@ -91,6 +91,12 @@ def test_report_follows_the_schedule(documents):
         assert sorted(got) == sorted(r[0] for r in rows)
         assert got == sorted(got, key=lambda i: (first.get(i, 2.0), i))
         orders.append(got)
+        report = {r.doc_id: r for r in curriculum.mix_report(mixed).collect()}
+        for r in mixed.collect():
+            told = report[r.doc_id]
+            assert told.visits == len(r.visits)
+            ends = [round(v.position, 9) for v in r.visits] or [None]
+            assert (told.first_position, told.last_position) == (pytest.approx(ends[0], abs=2e-9), pytest.approx(ends[-1], abs=2e-9))
     assert orders[0] != orders[1]
 
 
