@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -150,16 +153,38 @@ def keep_keys(wide: DataFrame, keys: DataFrame, *names: str, how: str = "left_se
     return wide.join(F.broadcast(keys) if few else keys, same, how)
 
 
-def map_columns(df: DataFrame, make, schema: str) -> DataFrame:
+def map_columns(df: DataFrame, make, schema: str, release: bool = False) -> DataFrame:
     """Rows made from `df` by Python, a batch of columns at a time.
 
     `make` takes an iterator of dicts of lists (one per Arrow batch) and yields dicts of
-    lists or arrays with the columns of `schema`. Integers stay exact next to nulls.
+    lists or arrays with the columns of `schema`. Integers stay exact next to nulls. With
+    `release`, a task gives its memory back when it is done.
     """
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
-    def run(batches):
+    def rows(batches):
         for made in make(b.to_pydict() for b in batches):
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            if release:
+                give_back()
+
     return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system.
+
+    Spark keeps Python workers for the stages that follow, and they would hold on to the
+    most that an earlier one ever took.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass

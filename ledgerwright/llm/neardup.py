@@ -110,7 +110,8 @@ def _describe(docs: DataFrame, size: int, bands: int, rows: int, kept: int) -> D
             yield {"doc_id": columns["doc_id"], **out}
 
     return map_columns(
-        docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, signature binary"
+        docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, set_key string, bands array<bigint>, signature binary",
+        release=True,
     )
 
 
@@ -123,7 +124,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield {"set_key": [hashlib.md5(s).hexdigest() for s in sets], "shingles": sets}
 
     rows = keep_keys(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
-    sets = map_columns(rows.select("text"), make, "set_key string, shingles binary")
+    sets = map_columns(rows.select("text"), make, "set_key string, shingles binary", release=True)
     # Rows that share an id, or a set, may bring a set twice.
     return wanted.select("node", "set_key").join(sets, "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -144,7 +145,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return map_columns(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), make, "a bigint, b bigint")
+    return map_columns(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), make, "a bigint, b bigint", release=True)
 
 
 def _plausible(pairs: DataFrame, signatures: DataFrame, need: list[int]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwright.llm import gru
-from ledgerwright.llm.common import first_by_hash, keep_keys, map_columns, remainder, stored
+from ledgerwright.llm.common import first_by_hash, give_back, keep_keys, map_columns, remainder, stored
 
 HIDDEN = 8
 WORD_DIM, CHAR_DIM = 4, 8
@@ -39,6 +39,7 @@ KNOWN = 150_000  # words whose inputs a worker remembers
 GROUP, PIECE_WORDS = 100_000, 49_152  # words scored together, and words of one text among them (whole strides)
 LEARN_AT_ONCE = 8_192  # words whose inputs are made together
 AT_ONCE = 2_048  # windows in one run of the network
+ROWS_AT_ONCE = 1_024  # rows of a batch whose texts are Python strings at one time
 SEED = 5
 _WORD = re.compile(r"\w+")
 
@@ -408,9 +409,17 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFram
     """The rows of `docs`, with all their columns, whose score is below `threshold`."""
 
     def run(batches):
-        scorer = Scorer(model)
-        for batch in batches:
-            score = scorer.score(batch.column("text").to_pylist())
-            yield batch.filter(pa.array(score < threshold))
+        try:
+            yield from _clean_rows(batches, Scorer(model), threshold)
+        finally:
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _clean_rows(batches: Iterable[pa.RecordBatch], scorer: Scorer, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            score = scorer.score(part.column("text").to_pylist())
+            yield part.filter(pa.array(score < threshold))
