@@ -106,6 +106,17 @@ def test_ingest_knows_its_keys_from_state_over_twenty_triggers(spark, tmp_path):
     assert sorted(got) == sorted(expected)
 
 
+def test_streams_take_tables_of_many_files(spark, tmp_path):
+    from registry.streams import QUERIES
+
+    for name, key in (("documents", "doc_id"), ("events", "event_id")):
+        rows = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        rows.repartition(3, key).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("stream_ingest", "stream_vendor_stats"):
+        whole, parts = (sorted(map(tuple, QUERIES[name](spark, d).collect())) for d in (SMALL, str(tmp_path)))
+        assert whole and whole == parts
+
+
 def test_processing_reads_no_source_twice(spark, monkeypatch):
     from registry.processing import _inputs
     from registry.triage import tier_rows
