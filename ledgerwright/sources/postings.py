@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,10 +28,18 @@ def stem_table(words: DataFrame) -> DataFrame:
     return materialised(vocabulary.select("word", _stem_of("word").alias("lexeme")), "stems")
 
 
+def _pairs(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(lexeme, id), more than once where words of a text share a lexeme. Numbers are their own lexemes: they need no stem,
+    and without them the vocabulary is small."""
+    words = texts.select(id_col, F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("word"))
+    number = F.col("word").rlike("^[0-9]+$")
+    stemmed = words.where(~number).join(stem_table(words.where(~number)), "word").select("lexeme", id_col)
+    return stemmed.unionByName(words.where(number).select(F.col("word").alias("lexeme"), id_col))
+
+
 def postings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(lexeme, id), each pair once, for texts with one row an id."""
-    words = texts.select(id_col, F.explode(F.array_distinct(word_tokens(F.col(text_col)))).alias("word"))
-    return words.join(stem_table(words), "word").select("lexeme", id_col).distinct()
+    return _pairs(texts, id_col, text_col).distinct()
 
 
 def write_postings(texts: DataFrame, path: str, id_col: str, text_col: str, buckets: int = BUCKETS) -> None:
@@ -39,11 +47,16 @@ def write_postings(texts: DataFrame, path: str, id_col: str, text_col: str, buck
 
     A row is one pair, so the list of a frequent lexeme is many rows over many files and no
     array of any length; sorted, a lexeme takes little space and its row groups are found by
-    their statistics.
+    their statistics. The texts are written once, as they are read several times; pairs are
+    shuffled once, by ranges, in which equal ones meet.
     """
-    placed = postings(texts, id_col, text_col).withColumn("bucket", (F.crc32(F.col("lexeme").cast("binary")) % buckets).cast("int"))
+    texts = materialised(texts.select(id_col, text_col), "texts")
+    placed = _pairs(texts, id_col, text_col).withColumn("bucket", (F.crc32(F.col("lexeme").cast("binary")) % buckets).cast("int"))
     order = ["bucket", "lexeme", id_col]
-    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # Sorted by the window, which needs no more than the sort that the files need as well.
+    nth = F.row_number().over(Window.partitionBy(*order).orderBy(id_col))
+    once = placed.repartitionByRange(*order).withColumn("nth", nth).where(F.col("nth") == 1).drop("nth")
+    once.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def search_postings(spark: SparkSession, path: str, phrase: str, id_col: str, id_type: str = "string", buckets: int = BUCKETS) -> DataFrame:
