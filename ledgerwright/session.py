@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def open_writers(spark: SparkSession, folders: int) -> Iterator[None]:
+    """Tasks that write inside keep a file open for each of so many folders, instead of sorting their rows by folder first;
+    the caller's setting comes back after."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, folders)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """`df` written below the shared folder and read back: computed once however many plans read it, and only the
     columns that each of them needs; survives lost executors."""

@@ -12,6 +12,7 @@ from ledgerwright.functions.stemming import lexemes
 from ledgerwright.operators.fields import field_value, promote
 from ledgerwright.operators.usage import price_calls
 from ledgerwright.schema import STORED_EXTRACTIONS
+from ledgerwright.session import open_writers
 
 EXPORT_COLUMNS = (
     "invoice_id", "vendor_name", "invoice_number", "invoice_date", "subtotal", "tax", "total",
@@ -102,7 +103,9 @@ def write_extractions(extractions: DataFrame, path: str) -> None:
     rows = promote(extractions) if "fields" in extractions.columns else extractions
     if "raw_text" in rows.columns and "lexemes" not in rows.columns:
         rows = rows.withColumn("lexemes", lexemes(F.col("raw_text")))
-    rows.write.mode("overwrite").partitionBy("is_current").parquet(path)
+    # Two folders, and one for rows without the flag: wide rows need no sort to be told apart.
+    with open_writers(rows.sparkSession, 3):
+        rows.write.mode("overwrite").partitionBy("is_current").parquet(path)
 
 
 def read_extractions(spark: SparkSession, path: str, schema: StructType = STORED_EXTRACTIONS) -> DataFrame:
