@@ -9,10 +9,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from ledgerwright.functions import stemming
 from ledgerwright.functions.stemming import query_lexemes
 from ledgerwright.operators.anomalies import ack_map, within_acked
 from ledgerwright.plans import process as processing
-from ledgerwright.session import materialised
+from ledgerwright.plans import testmodel as tm
+from ledgerwright.session import materialised, open_writers
+from ledgerwright.sources.export import write_extractions
 from ledgerwright.sources.postings import search_postings, stem_table, write_postings
 from ledgerwright.sources.store import ExtractionStore
 from ledgerwright.streaming.ingest import ingest
@@ -117,6 +120,46 @@ def test_streams_take_tables_of_many_files(spark, tmp_path):
         assert whole and whole == parts
 
 
+def test_postings_read_their_texts_once(spark, tmp_path):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        met.add(1)
+        return text
+
+    texts = spark.createDataFrame([(str(i), f"blue rings {i} ring 17") for i in range(50)], "id string, text string")
+    write_postings(texts.select("id", counted("text").alias("text")), str(tmp_path), "id", "text")
+    assert met.value == 50
+    got = sorted((r.lexeme, r.id) for r in spark.read.parquet(str(tmp_path)).collect())
+    assert got == sorted((w, str(i)) for i in range(50) for w in {"blue", "ring", str(i), "17"})
+
+
+def test_stored_folders_need_no_sort(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    with open_writers(spark, 3):
+        assert spark.conf.get(name) == "3"
+    assert spark.conf.get(name, None) == before
+    flags = spark.range(90).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, True).when(F.col("id") % 3 == 1, False).alias("is_current"))
+    rows = flags.withColumns({c: F.lit(None).cast("string") for c in ("vendor_text", "currency", "total_amount", "subtotal_amount", "tax_amount", "period_start")})
+    write_extractions(rows.withColumn("fields", F.create_map().cast("map<string,string>")), f"{tmp_path}/x")
+    got = spark.read.parquet(f"{tmp_path}/x").groupBy("is_current").count().collect()
+    assert {r.is_current: r["count"] for r in got} == {"true": 30, "false": 30, None: 30}
+
+
+def test_items_are_gathered_narrow(spark):
+    plan = tm.extractions(spark, SMALL, True)._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [line for line in plan.splitlines() if "collect_list(" in line]
+    assert gathered and all("0.9" not in x[x.index("collect_list("):x.index("collect_list(") + 300].split("),")[0] for x in gathered)
+
+
+def test_numbers_are_not_stemmed():
+    before = stemming._stem.cache_info().misses
+    assert [stemming.stem(w) for w in ("98765432101", "rings")] == ["98765432101", "ring"]
+    assert stemming._stem.cache_info().misses <= before + 1
+
+
 def test_processing_reads_no_source_twice(spark, monkeypatch):
     from registry.processing import _inputs
     from registry.triage import tier_rows
