@@ -12,6 +12,7 @@ from conftest import SMALL
 from ledgerwright.functions import stemming
 from ledgerwright.functions.stemming import query_lexemes
 from ledgerwright.operators.anomalies import ack_map, within_acked
+from ledgerwright.operators.words import field_boxes
 from ledgerwright.plans import process as processing
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.session import materialised, open_writers
@@ -148,6 +149,17 @@ def test_stored_folders_need_no_sort(spark, tmp_path):
     assert {r.is_current: r["count"] for r in got} == {"true": 30, "false": 30, None: 30}
 
 
+def test_words_are_shuffled_once(spark):
+    words = spark.createDataFrame([("d", 0, i, w, i * 10.0, 0.0, i * 10.0 + 9, 15.0) for i, w in enumerate("a Blue, ring a blue ring".split())],
+                                  "doc_id string, page int, word_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    values = spark.createDataFrame([("d", "f", "blue ring"), ("d", "g", "a blue"), ("d", "h", "ring blue")], "doc_id string, field string, value string")
+    boxes = field_boxes(words, values)
+    assert {r.field: r.bbox for r in boxes.collect()} == {"f": [10 / 59, 0.0, 29 / 59, 1.0], "g": [0.0, 0.0, 19 / 59, 1.0]}
+    plan = boxes._jdf.queryExecution().optimizedPlan().toString()
+    # Once numbered, once for the extent of pages.
+    assert sum("word_no" in line and "LogicalRDD" in line for line in plan.splitlines()) <= 2
+
+
 def test_items_are_gathered_narrow(spark):
     plan = tm.extractions(spark, SMALL, True)._jdf.queryExecution().optimizedPlan().toString()
     gathered = [line for line in plan.splitlines() if "collect_list(" in line]
