@@ -9,6 +9,7 @@ from ledgerwright import fixed
 from ledgerwright.functions.amounts import amount
 from ledgerwright.functions.dates import iso_date, parse_period
 from ledgerwright.schema import FIELD
+from ledgerwright.session import materialised
 
 
 def field_value(name: str, fields: str = "fields") -> Column:
@@ -192,25 +193,22 @@ def located_fields(extractions: DataFrame) -> DataFrame:
 
 
 def field_diff(pairs: DataFrame, extractions: DataFrame) -> DataFrame:
-    """Seven fields of two invoices side by side; pairs are (invoice_id, against_id)."""
+    """Seven fields of two invoices side by side; pairs are (invoice_id, against_id).
+
+    The values are taken from the maps once and written, as both sides of the comparison read them.
+    """
     from ledgerwright.functions.amounts import values_match
 
     order = ("vendor_name", "invoice_number", "invoice_date", "subtotal", "tax", "total", "currency")
-    values = extractions.select("invoice_id", field_values().alias("v"))
-    both = (
-        pairs.join(values.withColumnRenamed("v", "current"), "invoice_id")
-        .join(
-            values.select(F.col("invoice_id").alias("against_id"), F.col("v").alias("original")),
-            "against_id",
-        )
-    )
+    found = [F.try_element_at("fields", F.lit(f))["value"].alias(f"v{i}") for i, f in enumerate(order)]
+    values = materialised(extractions.select("invoice_id", *found), "values")
+    side = lambda key, mark: values.select(F.col("invoice_id").alias(key), *[F.col(f"v{i}").alias(f"{mark}{i}") for i in range(len(order))])
+    both = pairs.join(side("invoice_id", "__c"), "invoice_id").join(side("against_id", "__o"), "against_id")
     rows = F.array(*[
-        F.struct(
-            F.lit(f).alias("field"),
-            F.col("original")[f].alias("original_value"),
-            F.col("current")[f].alias("current_value"),
-            values_match(F.col("original")[f], F.col("current")[f], f).alias("matches"),
-        )
-        for f in order
+        F.struct(F.lit(f).alias("field"), F.col(f"__o{i}").alias("original_value"), F.col(f"__c{i}").alias("current_value"))
+        for i, f in enumerate(order)
     ])
-    return both.select("invoice_id", "against_id", F.inline(rows))
+    told = both.select("invoice_id", "against_id", F.inline(rows))
+    match = lambda f: values_match(F.col("original_value"), F.col("current_value"), f)
+    # One comparison for each kind of field, behind the rows, stays small enough to be compiled.
+    return told.withColumn("matches", F.when(F.col("field").isin(*fixed.AMOUNT_FIELDS), match("total")).otherwise(match("vendor_name")))
