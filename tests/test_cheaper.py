@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from conftest import SMALL
 from ledgerwright.operators import fields
+from ledgerwright.operators.triage import rederive, triage_state
+from ledgerwright.plans import testmodel as tm
 
 
 def noted(monkeypatch, module):
@@ -29,3 +34,12 @@ def test_field_diff_takes_the_values_once(spark, monkeypatch):
     assert found["a", "b", "total"] == ("1.009", "1.00", True) and found["a", "b", "currency"] == ("EUR ", " EUR", True)
     assert found["a", "b", "tax"] == ("x", "x", False) and found["a", "b", "subtotal"] == (None, None, True)
     assert found["c", "a", "total"] == ("1.00", None, False) and found["c", "c", "total"] == (None, None, True)
+
+
+def test_a_rederived_state_needs_no_reasons(spark):
+    stats = spark.createDataFrame([("1", 4, 100.0, 1.0), ("2", 1, 5.0, 0.0)], "vendor_id string, n long, avg double, std double")
+    done = rederive(tm.base(spark, SMALL), stats)
+    same = F.col("state") == triage_state(F.col("reasons"))
+    states = {r.state: (r.n, r.same) for r in done.groupBy("state").agg(F.count("*").alias("n"), F.count_if(same).alias("same")).collect()}
+    assert len(states) == 3 and all(n == equal > 0 for n, equal in states.values())
+    assert "below_threshold" not in done.select("state", "changed")._jdf.queryExecution().optimizedPlan().toString()
