@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from ledgerwright.operators.scan import mark_newest_current, promote_current
+from ledgerwright.operators.scan import promote_current
 from ledgerwright.session import materialised
 
 
@@ -56,10 +56,15 @@ class ExtractionStore:
         new = materialised(new.select(*self.schema.names), "batch")
         buckets = self.touched(new)
         old = self._rows().where(F.col("bucket").isin(buckets)).drop("bucket")
-        old = old.join(new.select("extraction_id"), "extraction_id", "left_anti").select(*self.schema.names)
-        ours = new.select("invoice_id").distinct()
-        changed = mark_newest_current(old.join(ours, "invoice_id", "left_semi").select(*self.schema.names).unionByName(new))
-        self._replace(old.join(ours, "invoice_id", "left_anti").select(*self.schema.names).unionByName(changed), buckets)
+        old = old.join(new.select("extraction_id").distinct(), "extraction_id", "left_anti").select(*self.schema.names)
+        rows = old.withColumn("__new", F.lit(False)).unionByName(new.withColumn("__new", F.lit(True)))
+        # The newest row of each invoice, and whether the batch brought any: one join by invoice tells what changes.
+        newest = rows.groupBy("invoice_id").agg(
+            F.max(F.struct("created_at", "extraction_id"))["extraction_id"].alias("__newest"), F.bool_or("__new").alias("__ours")
+        )
+        ours = F.col("__new") | F.coalesce("__ours", F.lit(False))
+        current = F.when(ours, F.coalesce(F.col("extraction_id") == F.col("__newest"), F.lit(False))).otherwise(F.col("is_current"))
+        self._replace(rows.join(newest, "invoice_id", "left").withColumn("is_current", current), buckets)
         return buckets
 
     def promote(self, chosen: DataFrame) -> list[int]:

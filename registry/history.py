@@ -14,7 +14,7 @@ from ledgerwright.operators.vendors import (
     fold_confirms, point_in_time_stats, resolve_vendors, vendor_stats,
 )
 from ledgerwright.plans import testmodel as tm
-from ledgerwright.session import new_path
+from ledgerwright.session import materialised, new_path
 from ledgerwright.sources.store import ExtractionStore
 from registry.sqlmodel import BASE, EVENTS, ORD, R4
 
@@ -48,7 +48,7 @@ SQL["promote_extraction"] = f"""WITH {VERSIONS} SELECT extraction_id,
 
 def _kept(spark, d, promoted=False):
     """Older rows, then newer ones, which come twice, in a stored table; read back."""
-    rows = tm.extractions(spark, d).select("extraction_id", "invoice_id", "created_at", "is_current", "k")
+    rows = materialised(tm.extractions(spark, d).select("extraction_id", "invoice_id", "created_at", "is_current", "k"), "extractions")
     older = F.col("extraction_id").endswith("-old")
     store = ExtractionStore(spark, new_path(spark, "extraction-store"), rows.schema, buckets=16)
     store.append(rows.where(older))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from conftest import SMALL
 from ledgerwright.operators import fields
 from ledgerwright.operators.triage import rederive, triage_state
 from ledgerwright.plans import testmodel as tm
+from ledgerwright.sources import store
 
 
 def noted(monkeypatch, module):
@@ -43,3 +46,19 @@ def test_a_rederived_state_needs_no_reasons(spark):
     states = {r.state: (r.n, r.same) for r in done.groupBy("state").agg(F.count("*").alias("n"), F.count_if(same).alias("same")).collect()}
     assert len(states) == 3 and all(n == equal > 0 for n, equal in states.values())
     assert "below_threshold" not in done.select("state", "changed")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_append_joins_the_stored_rows_twice(spark, tmp_path, monkeypatch):
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    row = "extraction_id string, invoice_id string, created_at timestamp, is_current boolean"
+    table = store.ExtractionStore(spark, str(tmp_path / "store"), spark.createDataFrame([], row).schema, buckets=4)
+    table.append(spark.createDataFrame([("a1", "a", at(1), True), ("a2", "a", at(2), True), ("b1", "b", at(1), True), ("n1", None, at(1), True)], row))
+    table.promote(spark.createDataFrame([("b", "b1")], "invoice_id string, extraction_id string"))
+    written = noted(monkeypatch, store)
+    # a1 comes again and later, c is new; b stays promoted, rows without an invoice are never current.
+    table.append(spark.createDataFrame([("a1", "a", at(9), False), ("c1", "c", None, False), ("n2", None, at(1), True)], row))
+    assert {r.extraction_id: r.is_current for r in table.read().collect()} == {
+        "a1": True, "a2": False, "b1": True, "c1": True, "n1": False, "n2": False
+    }
+    plan = dict(written)["buckets"]
+    assert plan.count("Join ") <= 3  # replaced rows go once before the newest is told and once before it is joined
