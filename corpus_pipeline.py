@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens, numbered along the order in which mixing wrote them."""
-    return packing.pack_documents(docs, ordered=True)
+    return packing.pack_documents(docs, ordered=True, release=True)
 
 
 STAGES = [

@@ -148,7 +148,7 @@ SCHEMA = (
 )
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1, ranks_path: str | None = None, ids: bool = False, ordered: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1, ranks_path: str | None = None, ids: bool = False, ordered: bool = False, release: bool = False) -> DataFrame:
     """Pieces of all documents, packed: `SCHEMA`, and the piece's ids if `ids` is set.
 
     A document's ids are those of its whole text and `end_id`; each id lies in exactly one
@@ -161,7 +161,8 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
     gapless from 0. Spark reads files in an order of its own. With `ordered`, for `docs` read
     from files whose order means something, the number of the file's block in name order
     takes the place of the partition's, and no sequence holds rows of two blocks: ids rise
-    along the files from group to group, in any order inside a group.
+    along the files from group to group, in any order inside a group. With `release`, a task
+    gives its memory back when it is done, that of the encoder included.
     """
     ranges = file_ranges(docs) if ordered else {}
     schema = SCHEMA + (", ids array<int>" if ids else "")
@@ -205,9 +206,11 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), end_id: int = 1,
                 tokens += len(got)
         if rows:
             yield packed()
+        if release:
+            encoder.cache_clear()
 
     place = ["_metadata.file_path", "_metadata.file_block_start"] if ordered else []
-    return map_columns(docs.select("doc_id", "text", *place), make, schema)
+    return map_columns(docs.select("doc_id", "text", *place), make, schema, release)
 
 
 def pack_examples(examples: DataFrame, limits: Limits) -> DataFrame:

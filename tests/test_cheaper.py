@@ -62,3 +62,18 @@ def test_an_append_joins_the_stored_rows_twice(spark, tmp_path, monkeypatch):
     }
     plan = dict(written)["buckets"]
     assert plan.count("Join ") <= 3  # replaced rows go once before the newest is told and once before it is joined
+
+
+def test_packing_of_the_pipeline_keeps_no_encoder(spark):
+    import corpus_pipeline
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from ledgerwright.llm.tokens import encoder
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.cache_info().currsize], pa.int64())], ["kept"])
+
+    corpus_pipeline.pack(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL).collect()
+    assert spark.range(0, 64, 1, 8).mapInArrow(kept, "kept long").agg(F.sum("kept")).first()[0] == 0
