@@ -10,7 +10,7 @@ from conftest import SMALL
 from ledgerwright.operators import fields
 from ledgerwright.operators.triage import rederive, triage_state
 from ledgerwright.plans import testmodel as tm
-from ledgerwright.sources import store
+from ledgerwright.sources import hash_index, store
 
 
 def noted(monkeypatch, module):
@@ -77,3 +77,18 @@ def test_packing_of_the_pipeline_keeps_no_encoder(spark):
 
     corpus_pipeline.pack(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL).collect()
     assert spark.range(0, 64, 1, 8).mapInArrow(kept, "kept long").agg(F.sum("kept")).first()[0] == 0
+
+
+def test_an_index_probe_writes_its_keys_once(spark, tmp_path, monkeypatch):
+    written = noted(monkeypatch, hash_index)
+    index = hash_index.HashIndex(spark, str(tmp_path / "index"), buckets=8, fan=2)
+    uploads = lambda rows: spark.createDataFrame(rows, "invoice_id string, uploaded_at timestamp, hash_bits long")
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    first = index.probe_and_add(uploads([("a", at(1), 0), ("b", at(2), 3), ("c", at(3), -1), ("d", at(4), 0)]), 0)
+    assert {tuple(r) for r in first.collect()} == {("b", "a", 2), ("d", "a", 0)}
+    # More stored than asked for, and fewer: both ways of joining.
+    assert {tuple(r) for r in index.probe_and_add(uploads([("e", at(9), -2)]), 1).collect()} == {("e", "c", 1)}
+    many = [(f"m{i}", at(20 + i), 1 << 20 | 1 << 40 | 1 << 41 | 1 << 50 | 1 << 60 | 1 << (i + 1)) for i in range(12)] + [("f", at(0), 1)]
+    found = {r.invoice_id: (r.near_id, r.distance) for r in index.probe_and_add(uploads(many), 2).collect()}
+    assert found == {f"m{i}": ("m0", 2) for i in range(1, 12)}
+    assert "candidates" not in [name for name, _ in written]
