@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from ledgerwright.operators import fields
 from ledgerwright.operators.triage import rederive, triage_state
+from ledgerwright.plans import process as processing
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.sources import hash_index, store
 
@@ -92,3 +93,13 @@ def test_an_index_probe_writes_its_keys_once(spark, tmp_path, monkeypatch):
     found = {r.invoice_id: (r.near_id, r.distance) for r in index.probe_and_add(uploads(many), 2).collect()}
     assert found == {f"m{i}": ("m0", 2) for i in range(1, 12)}
     assert "candidates" not in [name for name, _ in written]
+
+
+def test_a_retry_gathers_the_readings_of_its_invoices(spark, monkeypatch):
+    monkeypatch.setattr(processing, "process", lambda again, tiers, stored, **tables: (again, tiers))
+    invoices = spark.createDataFrame([(i, i, i, None) for i in "abc"], "invoice_id string, file_hash string, storage_key string, perceptual_hash string")
+    chosen = spark.createDataFrame([("b", 2, True, datetime(2024, 1, 1))], "invoice_id string, force_tier int, has_text boolean, retried_at timestamp")
+    tiers = spark.createDataFrame([(i, t) for i in "abc" for t in (1, 2, 3)], "invoice_id string, tier int")
+    again, readings = processing.retry(chosen, invoices, tiers, None)
+    assert [r.invoice_id for r in again.collect()] == ["b"]
+    assert sorted(map(tuple, readings.collect())) == [("b", 1), ("b", 2), ("b", 3)]
