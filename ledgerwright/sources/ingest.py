@@ -83,15 +83,25 @@ def _doc_id() -> F.Column:
 
 
 def annotation_rows(annotations: DataFrame) -> DataFrame:
-    """(doc_id, field, text): the first annotation of each mapped field of a document."""
-    mapping = F.create_map(*[F.lit(x) for kv in fixed.ANNOTATION_FIELDS.items() for x in kv])
-    rows = annotations.select("doc_id", F.posexplode("field_extractions").alias("pos", "e")).select(
-        "doc_id", "pos", F.element_at(mapping, F.col("e.fieldtype")).alias("field"),
-        F.coalesce("e.text", F.lit("")).alias("text"),
-    )
-    return rows.where(F.col("field").isNotNull()).groupBy("doc_id", "field").agg(
-        F.min_by("text", "pos").alias("text")
-    )
+    """(doc_id, field, text): the first annotation of each mapped field of a document.
+
+    The first ones are picked inside the array, so a document is one narrow row, and the rows are shuffled before they
+    are sorted for the aggregation, which puts documents together that come in several rows.
+    """
+    have, texts = F.col("field_extractions.fieldtype"), F.col("field_extractions.text")
+    places = [F.nullif(F.array_position(have, kind), F.lit(0)) for kind in fixed.ANNOTATION_FIELDS]
+    names = list(fixed.ANNOTATION_FIELDS.values())
+    first = {f: [p for p, name in zip(places, names) if name == f] for f in names}
+    rows = annotations.select("doc_id", *[(p[0] if len(p) == 1 else F.least(*p)).alias(f"p{n}") for n, p in enumerate(first.values())], texts.alias("texts"))
+    # A place is null where the document has no such annotation, and its text then stays out.
+    rows = rows.select("doc_id", *[F.col(f"p{n}") for n in range(len(first))], *[
+        F.when(F.col(f"p{n}").isNotNull(), F.coalesce(F.get("texts", F.col(f"p{n}").cast("int") - 1), F.lit(""))).alias(f"f{n}") for n in range(len(first))
+    ])
+    firsts = rows.repartition("doc_id").groupBy("doc_id").agg(*[
+        F.min_by(f"f{n}", f"p{n}").alias(f"f{n}") for n in range(len(first))
+    ])
+    told = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{n}").alias("text")) for n, f in enumerate(first)])
+    return firsts.select("doc_id", F.inline(told)).where(F.col("text").isNotNull())
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

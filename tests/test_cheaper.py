@@ -12,6 +12,7 @@ from ledgerwright.operators.triage import rederive, triage_state
 from ledgerwright.plans import process as processing
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.sources import hash_index, store
+from ledgerwright.sources.ingest import annotation_rows
 
 
 def noted(monkeypatch, module):
@@ -103,3 +104,15 @@ def test_a_retry_gathers_the_readings_of_its_invoices(spark, monkeypatch):
     again, readings = processing.retry(chosen, invoices, tiers, None)
     assert [r.invoice_id for r in again.collect()] == ["b"]
     assert sorted(map(tuple, readings.collect())) == [("b", 1), ("b", 2), ("b", 3)]
+
+
+def test_annotations_are_shuffled_before_they_are_sorted(spark):
+    kind = "doc_id string, field_extractions array<struct<fieldtype:string,text:string>>"
+    rows = spark.createDataFrame([
+        ("a", [("note", "x"), ("vendor_name", None), ("vendor_name", "second"), None, (None, "y"), ("amount_total_tax", "1")]),
+        ("b", None), ("c", []), ("d", [("note", "x"), ("date_issue", "late")]), ("d", [("date_issue", "early"), ("document_id", "7")]),
+    ], kind)
+    found = annotation_rows(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", "tax", "1"), ("a", "vendor_name", ""), ("d", "invoice_date", "early"), ("d", "invoice_number", "7")]
+    assert plan.rindex("Aggregate") < plan.index("Exchange") and plan.count("Exchange") == 1
