@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwright import fixed
@@ -11,6 +11,7 @@ from ledgerwright.functions.scoring import min_confidence
 from ledgerwright.functions.text import strip
 from ledgerwright.operators.fields import field_value, promote
 from ledgerwright.operators.ordered import running_totals
+from ledgerwright.session import materialised
 
 STATES = (fixed.NEEDS_REVIEW, fixed.CONFIDENT, fixed.LIKELY_DUPLICATE)
 
@@ -88,48 +89,60 @@ def trend(older: Column, older_n: Column, recent: Column, recent_n: Column) -> C
 def vendor_rollup(base: DataFrame) -> DataFrame:
     """One row per trimmed extracted vendor name: spend, dates, open anomalies, trend.
 
-    The older half of a vendor's positive totals, by date text, is found from counts per
-    date text and leading characters of the id, so a large vendor is never ordered in one task. Its invoices are a query of
-    their own (`vendor_invoices`), not an array without bound.
+    The base relation is read once, into narrow rows, and summed per vendor and date text. The older half of a vendor's
+    positive totals, by date text, is found from the counts of these cells; only the cell that the half ends in is put
+    in order, from counts per leading characters of the id, so a large vendor is never ordered in one task. Its invoices
+    are a query of their own (`vendor_invoices`), not an array without bound.
     """
     open_state = F.col("state").isin(fixed.NEEDS_REVIEW, fixed.LIKELY_DUPLICATE)
     total = F.col("total_amount")
-    rows = promote(base, "vendor_text", "total_amount").select(
+    rows = materialised(promote(base, "vendor_text", "total_amount").select(
         vendor_label().alias("name"), "invoice_id",
         F.coalesce(field_value("invoice_date"), F.lit("")).alias("date_text"),
         F.when(total > 0, total).alias("spent"),
         min_confidence(F.col("confidence")).alias("low"),
         F.coalesce((F.col("review_status") == fixed.PENDING) & open_state, F.lit(False)).alias("flag"),
-    ).where(F.col("name").isNotNull())
-    counted = running_totals(
-        rows, ["name"], [F.col("date_text"), F.substring("invoice_id", 1, 4)], ["invoice_id"],
-        {"before": F.when(F.col("spent").isNotNull(), F.lit(1).cast("bigint"))},
+    ).where(F.col("name").isNotNull()), "rows")
+    cells = rows.groupBy("name", "date_text").agg(
+        F.count("*").alias("invoices"), F.count_if("flag").alias("flags"),
+        F.sum("low").alias("low"), F.count("low").alias("lows"),
+        F.sum(F.col("spent").cast(MONEY)).alias("money"), F.count("spent").alias("n"),
     )
-    sizes = rows.groupBy("name").agg(F.count("spent").alias("n"))
-    half = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
-    older = F.col("before") < half
-    money = F.col("spent").cast(MONEY)
+    vendor = Window.partitionBy("name")
+    before = F.sum("n").over(vendor.orderBy("date_text").rowsBetween(Window.unboundedPreceding, -1))
+    half = F.greatest(F.lit(1), F.floor(F.sum("n").over(vendor) / 2))
+    # How many of the cell's positive totals lie in the older half.
+    older = F.least(F.greatest(half - F.coalesce(before, F.lit(0)), F.lit(0)), F.col("n"))
+    cells = materialised(cells.withColumn("older", older), "cells")
+    money, whole = F.col("money"), lambda cond: F.when(cond, F.col("money"))
+    plain = cells.select(
+        "name", "date_text", "invoices", "flags", "low", "lows", "money", "n", F.col("older").alias("older_n"),
+        whole(F.col("older") == F.col("n")).alias("older"), whole(F.col("older") == 0).alias("recent"),
+    )
+    cut = cells.where((F.col("older") > 0) & (F.col("older") < F.col("n"))).select("name", "date_text", "older")
+    inside = running_totals(
+        rows.where(F.col("spent").isNotNull()).join(cut, ["name", "date_text"]), ["name", "date_text"],
+        [F.substring("invoice_id", 1, 4)], ["invoice_id"], {"before": F.lit(1).cast("bigint")},
+    ).withColumn("money", F.col("spent").cast(MONEY))
+    first = F.col("before") < F.col("older")
+    parts = inside.groupBy("name").agg(F.sum(F.when(first, money)).alias("older"), F.sum(F.when(~first, money)).alias("recent"))
+    n, older_n = F.col("__n"), F.col("__on")
     return (
-        counted.join(sizes, "name")
+        plain.unionByName(parts, allowMissingColumns=True)
         .groupBy("name")
         .agg(
-            F.count("*").alias("invoices"),
-            F.coalesce(F.sum(money), F.lit(0)).cast("double").alias("total_spent"),
+            F.sum("invoices").alias("invoices"),
+            F.coalesce(F.sum("money"), F.lit(0)).cast("double").alias("total_spent"),
             F.nullif(F.max("date_text"), F.lit("")).alias("last_seen"),
-            F.count_if("flag").alias("anomalies"),
-            F.coalesce(F.avg("low"), F.lit(0.0)).alias("confidence"),
-            F.sum(F.when(older, money)).alias("__o"),
-            F.count(F.when(older, money)).alias("__on"),
-            F.sum(F.when(~older, money)).alias("__r"),
-            F.count(F.when(~older, money)).alias("__rn"),
+            F.sum("flags").alias("anomalies"),
+            F.coalesce(F.try_divide(F.sum("low"), F.sum("lows")), F.lit(0.0)).alias("confidence"),
+            F.sum("older").alias("__o"), F.sum("older_n").alias("__on"), F.sum("recent").alias("__r"), F.sum("n").alias("__n"),
         )
         .withColumns({
-            "avg_invoice": F.coalesce(
-                F.try_divide("total_spent", F.col("__on") + F.col("__rn")), F.lit(0.0)
-            ),
-            "trend": trend(F.col("__o"), F.col("__on"), F.col("__r"), F.col("__rn")),
+            "avg_invoice": F.coalesce(F.try_divide("total_spent", n), F.lit(0.0)),
+            "trend": trend(F.col("__o"), older_n, F.col("__r"), n - older_n),
         })
-        .drop("__o", "__on", "__r", "__rn")
+        .drop("__o", "__on", "__r", "__n")
     )
 
 

@@ -7,12 +7,13 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from ledgerwright.operators import fields
+from ledgerwright.operators import fields, rollup
 from ledgerwright.operators.triage import rederive, triage_state
 from ledgerwright.plans import process as processing
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.sources import hash_index, store
 from ledgerwright.sources.ingest import annotation_rows
+from test_operators import invoice_base
 
 
 def noted(monkeypatch, module):
@@ -116,3 +117,16 @@ def test_annotations_are_shuffled_before_they_are_sorted(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("a", "tax", "1"), ("a", "vendor_name", ""), ("d", "invoice_date", "early"), ("d", "invoice_number", "7")]
     assert plan.rindex("Aggregate") < plan.index("Exchange") and plan.count("Exchange") == 1
+
+
+def test_a_rollup_reads_its_invoices_once(spark, monkeypatch):
+    written = noted(monkeypatch, rollup)
+    many = [(f"{k:04d}-m", "m", "Many", 5, "pending", str(100 if k < 7 else 200), None) for k in range(14)]
+    rows = many + [("m-neg", "m", " Many", 5, "pending", "-1", None), ("m-old", "m", "Many ", 1, "pending", "100", None), ("0-nan", "m", "Many", 5, "confirmed", "x", None),
+                   ("n1", "n", "None", 3, "pending", "0", None), ("n2", "n", "None", 4, "pending", None, None)]
+    found = rollup.vendor_rollup(invoice_base(spark, rows))
+    plans = [plan for _, plan in written] + [found._jdf.queryExecution().optimizedPlan().toString()]
+    assert [name for name, _ in written] == ["rows", "cells"] and sum(plan.count("LogicalRDD") for plan in plans) == 1
+    told = {r.name: (r.invoices, r.total_spent, r.avg_invoice, r.trend, r.last_seen, r.anomalies) for r in found.collect()}
+    # Many: of 15 positive totals the older 7 are m-old and the first 6 of one day, 100 each; the recent 8 are 100 and 7 of 200.
+    assert told == {"Many": (17, 2200.0, 2200.0 / 15, "rising", "2024-01-05", 16), "None": (2, 0.0, 0.0, "new", "2024-01-04", 2)}
