@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerwright import fixed
 from ledgerwright.functions.amounts import MONEY
-from ledgerwright.functions.stemming import lexemes, matches_all
+from ledgerwright.functions.stemming import lexemes, matches_all, text_matches
 from ledgerwright.operators.fields import promote
 
 _COMPARE = ("eq", "neq", "gt", "gte", "lt", "lte", "between")
@@ -215,12 +215,14 @@ def filtered(base: DataFrame, query: StructuredQuery) -> DataFrame:
     """Rows of the base relation that meet every clause; no clause keeps all rows.
 
     Stored typed columns (total_amount, period_start, ..., lexemes) are used where the
-    table has them, so that filters reach the file reader; otherwise they are derived.
+    table has them, so that filters reach the file reader; otherwise they are derived. Without
+    stored lexemes a search looks at the texts, and lexemes are made of the rows it leaves.
     """
     rows = promote(base)
-    if "lexemes" not in rows.columns and any(c.op == "fts_matches" for c in query.filters):
-        rows = rows.withColumn("lexemes", lexemes(F.col("raw_text")))
-    return rows.where(reduce(Column.__and__, map(clause_column, query.filters), F.lit(True)))
+    searched = [c for c in query.filters if c.op == "fts_matches" and "lexemes" not in rows.columns]
+    conditions = [text_matches(F.col("raw_text"), str(c.value)) if c in searched else clause_column(c) for c in query.filters]
+    rows = rows.where(reduce(Column.__and__, conditions, F.lit(True)))
+    return rows.withColumn("lexemes", lexemes(F.col("raw_text"))) if searched else rows
 
 
 def _sort_column(name: str) -> Column:

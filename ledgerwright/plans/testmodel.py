@@ -145,6 +145,8 @@ def extractions(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFr
         "total": "(k % 10) / 10D", "currency": "1D", "subtotal": "0.9D", "tax": "0.9D",
     }
     fields = ", ".join(_field(name, score) for name, score in scores.items())
+    # The text needs the values alone, so a plan that reads no field parses no date.
+    values = ", ".join(f"'{name}', struct({name} AS value)" for name in scores)
     kept = ", ".join(f"'{name}', {scores[name]}" for name in ("total", "vendor_name", "invoice_date"))
     double = _reason(
         "duplicate_of", invoice_id=uuid_sql("greatest(k - 1, 0)"), similarity="1", match_method="'perceptual_hash'"
@@ -174,9 +176,9 @@ def extractions(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFr
         # The typed columns that are stored next to the map.
         "vendor_name AS vendor_text", "currency", "try_cast(total AS DECIMAL(18,4)) AS total_amount",
         "try_cast(subtotal AS DECIMAL(18,4)) AS subtotal_amount", "try_cast(tax AS DECIMAL(18,4)) AS tax_amount",
-        "CAST(period.iso_from AS DATE) AS period_start",
+        "CAST(period.iso_from AS DATE) AS period_start", f"map({values}) AS __values",
     )
-    return made.withColumn("raw_text", raw_text(F.col("fields"), F.col("line_items"), F.col("tax_rows")))
+    return made.withColumn("raw_text", raw_text(F.col("__values"), F.col("line_items"), F.col("tax_rows"))).drop("__values")
 
 
 def base(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:

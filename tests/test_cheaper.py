@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from ledgerwright import fixed
+from ledgerwright.functions import stemming
 from ledgerwright.operators import fields, rollup
 from ledgerwright.operators.triage import rederive, triage_state
 from ledgerwright.plans import process as processing
 from ledgerwright.plans import testmodel as tm
+from ledgerwright.plans.query import StructuredQuery, filtered
 from ledgerwright.sources import hash_index, store
 from ledgerwright.sources.ingest import annotation_rows
 from test_operators import invoice_base
@@ -130,3 +134,31 @@ def test_a_rollup_reads_its_invoices_once(spark, monkeypatch):
     told = {r.name: (r.invoices, r.total_spent, r.avg_invoice, r.trend, r.last_seen, r.anomalies) for r in found.collect()}
     # Many: of 15 positive totals the older 7 are m-old and the first 6 of one day, 100 each; the recent 8 are 100 and 7 of 200.
     assert told == {"Many": (17, 2200.0, 2200.0 / 15, "rising", "2024-01-05", 16), "None": (2, 0.0, 0.0, "new", "2024-01-04", 2)}
+
+
+def test_words_begin_as_their_stems_say():
+    parts = ["", "a", "b", "e", "i", "o", "y", "st", "at", "bl", "iz", "ee", "ll", "ss", "ring", "gener", "ti"]
+    ends = ["", "s", "es", "ies", "ied", "sses", "ed", "eed", "eedly", "ing", "ingly", "y", "ly", "li", "ation", "fulness", "ogi", "biliti", "e", "ement"]
+    words = {a + b + c for a in parts for b in parts for c in ends} | set(stemming._WHOLE) | set(stemming._AFTER_PLURAL) | {"7", "12th", "éclairs"}
+    words.discard("")
+    assert len(words) > 2000
+    assert [w for w in words if not any(w.startswith(b) for b in stemming.beginnings(stemming.stem(w)))] == []
+
+
+def test_a_search_stems_only_words_that_begin_like_its_own(spark):
+    texts = ["The BLUE rings", "blue, ring-shaped", "bluer rings", "blues and string", "ring", "", None, "dying sky", "Skies died", "it's 12 o'clock", "BLUE_RINGS 12"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "invoice_id string, raw_text string").selectExpr(
+        "*", "map('total', named_struct('value', '1', 'iso_from', '')) AS fields")
+    words = lambda text: {stemming.stem(w) for w in re.split(r"[\W_]+", (text or "").lower()) if w and w not in set(fixed.STOP_WORDS)}
+    for phrase in ("the blue rings", "sky", "die", "skies dying", "12", "the", "o clock", "absent"):
+        query = StructuredQuery.from_dict({"filters": [{"field": "raw_text", "op": "fts_matches", "value": phrase}]})
+        found, wanted = filtered(rows, query), words(phrase)
+        assert {r.invoice_id: set(r.lexemes) for r in found.collect()} == {str(i): words(t) for i, t in enumerate(texts) if wanted and wanted <= words(t)}, phrase
+    query = StructuredQuery.from_dict({"filters": [{"field": "raw_text", "op": "fts_matches", "value": "blue"}]})
+    plan = filtered(rows, query).select("invoice_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "bl" in plan[plan.index("ArrowEvalPython"):].split("Filter", 1)[1]
+
+
+def test_texts_need_no_dates(spark):
+    plan = tm.extractions(spark, SMALL).select("raw_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "iso_from" not in plan
