@@ -64,9 +64,10 @@ def open_writers(spark: SparkSession, folders: int) -> Iterator[None]:
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """`df` written below the shared folder and read back: computed once however many plans read it, and only the
-    columns that each of them needs; survives lost executors."""
+    columns that each of them needs; survives lost executors. Compressed more than by default, as ids and hashes in hex
+    take half the disk."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -56,7 +56,7 @@ def write_postings(texts: DataFrame, path: str, id_col: str, text_col: str, buck
     # Sorted by the window, which needs no more than the sort that the files need as well.
     nth = F.row_number().over(Window.partitionBy(*order).orderBy(id_col))
     once = placed.repartitionByRange(*order).withColumn("nth", nth).where(F.col("nth") == 1).drop("nth")
-    once.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    once.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def search_postings(spark: SparkSession, path: str, phrase: str, id_col: str, id_type: str = "string", buckets: int = BUCKETS) -> DataFrame:

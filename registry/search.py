@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerwright.operators.rollup import inbox_tab, inbox_tabs
-from ledgerwright.operators.scan import base_relation, newest_invoices, page
+from ledgerwright.operators.scan import base_relation, current_extractions, newest_invoices, page
 from ledgerwright.plans import testmodel as tm
 from ledgerwright.plans.query import StructuredQuery, filtered, run_aggregate, run_query, with_shares
 from ledgerwright.session import new_path
@@ -105,8 +105,9 @@ _stored("stored_fts_all_terms", [("raw_text", "fts_matches", "the blue rings")],
 def _posted(spark, d):
     """The same search over postings that were written and read back."""
     path = new_path(spark, "postings")
-    base = tm.base(spark, d, True)
-    write_postings(base.select("invoice_id", "raw_text"), path, "invoice_id", "raw_text")
+    # The texts are those of the current extractions; which of them have an invoice the search's join tells.
+    texts = current_extractions(tm.extractions(spark, d, True))
+    write_postings(texts.select("invoice_id", "raw_text"), path, "invoice_id", "raw_text")
     hits = search_postings(spark, path, "the blue rings", "invoice_id")
     return tm.base(spark, d).join(hits, "invoice_id", "left_semi").select(
         "invoice_id", "vendor_table_name", F.col("total_amount").cast("double").alias("total"), "state"
